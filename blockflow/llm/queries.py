@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, token_count
+from . import bpe, packing, passages, token_count
 from .common import table
 
 
@@ -23,8 +23,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op8_bpe_round_trip, op9_packing)}
+    return {f.__name__: f for f in (op4_token_counts, op8_bpe_round_trip, op9_packing, op10_repeated_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
