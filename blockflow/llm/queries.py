@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, near, packing, passages, token_count
+from . import bpe, language_model, near, packing, passages, token_count
 from .common import table
 
 
@@ -15,6 +16,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def _fold(folds: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+def op6_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(table(spark, sf_dir, "documents"), _fold(5) == 1)
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_groups(table(spark, sf_dir, "documents"), words=3, percent=90)
 
@@ -32,7 +41,7 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op7_ngram_join, op8_bpe_round_trip, op9_packing, op10_repeated_passages)}
+    return {f.__name__: f for f in (op4_token_counts, op6_ppm_scores, op7_ngram_join, op8_bpe_round_trip, op9_packing, op10_repeated_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
