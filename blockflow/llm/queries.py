@@ -8,18 +8,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_model, near, packing, passages, token_count
+from . import bpe, fingerprints, language_model, near, packing, passages, quality_model, quality_rules, token_count
 from .common import table
 
 
-def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
-
-
 def _fold(folds: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _fold(4) == 2)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_texts(table(spark, sf_dir, "documents"), _fold(5) == 1)
 
@@ -41,7 +53,7 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op6_ppm_scores, op7_ngram_join, op8_bpe_round_trip, op9_packing, op10_repeated_passages)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_quality_rules, op3_quality_model, op4_token_counts, op6_ppm_scores, op7_ngram_join, op8_bpe_round_trip, op9_packing, op10_repeated_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
