@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language_model, near, packing, passages, quality_model, quality_rules, token_count
+from . import bpe, fingerprints, language_model, lines, near, packing, passages, quality_model, quality_rules, token_count
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.removed_lines(table(spark, sf_dir, "documents"))
+
+
 def op6_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_texts(table(spark, sf_dir, "documents"), _fold(5) == 1)
 
@@ -53,7 +57,7 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_quality_rules, op3_quality_model, op4_token_counts, op6_ppm_scores, op7_ngram_join, op8_bpe_round_trip, op9_packing, op10_repeated_passages)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_quality_rules, op3_quality_model, op4_token_counts, op5_line_dedup, op6_ppm_scores, op7_ngram_join, op8_bpe_round_trip, op9_packing, op10_repeated_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
