@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import _arrow_schema, cut, small_batches
@@ -320,22 +320,19 @@ def _kept(length: int, schema: pa.Schema, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text on demand) of every row of docs.
+def _key() -> Column:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return F.xxhash64(text, F.octet_length(text))
 
-    Texts count as UTF-8 bytes; each byte covered by a string of `length` bytes
-    that also starts elsewhere, in the same or another row, goes. Overlaps
-    count, no string crosses texts, and strings are judged on the input. A null
-    text counts as empty and texts under `length` bytes lose nothing to others;
-    repeated rows and ids are rows of their own, so equal long texts go whole.
-    kept_text replaces a character cut in two by U+FFFD. Other columns are not
-    read. An empty table gives no rows."""
+
+def _outcome(docs: DataFrame, length: int, with_text: bool) -> DataFrame:
+    """h, n_removed (-1: everything), n_spans, kept_sha256 and perhaps kept_text of the texts that may lose something."""
     if length < 8:
         raise ValueError("length must be 8 or more")
     spark = docs.sparkSession
     small_batches(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text")).withColumn("h", F.xxhash64("text", F.octet_length("text")))
+    keyed = docs.select("doc_id", text.alias("text"), _key().alias("h"))
     long = keyed.where(F.octet_length("text") >= length)
     triggers = cut(long.select("h", "text").mapInArrow(_triggers(length), "trigger long, h long, again boolean"))
     repeated = triggers.groupBy("trigger").agg(F.count("*").alias("texts"), F.min("h").alias("a"), F.max("h").alias("b"), F.max("again").alias("again")).where((F.col("a") != F.col("b")) | F.col("again")).select("trigger", (F.col("texts") > HOT_TEXTS).alias("hot"))
@@ -354,9 +351,21 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False)
     result = "h long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else "")
     single = shared.where("copies = 1").join(per_text, "h").select("h", "text", "spans").mapInArrow(_kept(length, _arrow_schema(spark, result), with_text), result)
     gone = copies.where("copies > 1").select("h", F.lit(-1).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"), *([F.lit("").alias("kept_text")] if with_text else []))
-    outcome = single.unionByName(gone)
-    all_docs = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "h", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), *(["text"] if with_text else []))
-    joined = all_docs.join(outcome, "h", "left")
+    return single.unionByName(gone)
+
+
+def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs.
+
+    Texts count as UTF-8 bytes; each byte covered by a string of `length` bytes
+    that also starts elsewhere, in the same or another row, goes. Overlaps
+    count, no string crosses texts, and strings are judged on the input. A null
+    text counts as empty and texts under `length` bytes lose nothing; repeated
+    rows and ids are rows of their own, so equal long texts go whole. Other
+    columns are not read. An empty table gives no rows."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    all_docs = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), _key().alias("h"), F.sha2(text.cast("binary"), 256).alias("sha"))
+    joined = all_docs.join(_outcome(docs, length, False), "h", "left")
     removed = F.when(F.col("n_removed") == -1, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0)))
     return joined.select(
         "doc_id",
@@ -364,5 +373,18 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False)
         removed.cast("long").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
         F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
-        *([F.coalesce("kept_text", "text").alias("kept_text")] if with_text else []),
     )
+
+
+def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+    """docs, each text without what remove_repeats takes from it; documents that lose everything go.
+
+    A character cut in two becomes U+FFFD. All columns stay, n_chars follows the
+    text if it is there; null and short texts stay as they are."""
+    outcome = _outcome(docs, length, True).select(F.col("h").alias("_h"), F.col("n_removed").alias("_removed"), F.col("kept_text").alias("_kept"))
+    joined = docs.withColumn("_own", _key()).join(outcome, F.col("_own") == F.col("_h"), "left")
+    changed = F.coalesce(F.col("_removed"), F.lit(0)) != 0
+    joined = joined.where(~changed | (F.length("_kept") > 0)).withColumn("text", F.when(changed, F.col("_kept")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.when(changed, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+    return joined.select(*docs.columns)

@@ -7,7 +7,10 @@ two dimensions in the same way. A score is a sum of table entries."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -181,26 +184,33 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMP
     return AdditiveModel().fit(x[once], y[once])
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.7, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted (1 from threshold on) and the carried columns of every row of docs.
+def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.7) -> DataFrame:
+    """doc_id, held_out, score, predicted (1 from threshold on) of every row of docs.
 
     held_out is a Boolean column of doc_id (null counts as false); labels of
     rows where it holds are never looked at. Scores come from the text alone. A
     null text counts as empty and is scored like any other. Labels that differ
     for an id, or are null, are not used; with none left, or only one kind,
     every score is the labels' share of good ones. Repeated rows give a row
-    each; an empty table gives no rows."""
+    each; other columns are not read; an empty table gives no rows."""
     out = F.coalesce(held_out, F.lit(False))
     model = train(docs, labels, ~out)
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         score = model.score(features([t or b"" for t in cols["text"]]))
-        kept = {c: cols[c] for c in carry}
-        if "text" in kept:
-            kept["text"] = [None if t is None else t.decode() for t in cols["text"]]
-        return {"doc_id": cols["doc_id"], "held_out": cols["held_out"], "score": score.tolist(), "predicted": (score >= threshold).astype(int).tolist()} | kept
-
-    types = dict(docs.dtypes)
-    schema = "doc_id long, held_out boolean, score double, predicted int" + "".join(f", `{c}` {types[c]}" for c in carry)
-    own = docs.select("doc_id", out.alias("held_out"), "text", *[c for c in carry if c not in ("doc_id", "text")])
-    return arrow_map(own, run, schema, binary_text=True)
+        return {"doc_id": cols["doc_id"], "held_out": cols["held_out"], "score": score.tolist(), "predicted": (score >= threshold).astype(int).tolist()}
+
+    own = docs.select("doc_id", out.alias("held_out"), "text")
+    return arrow_map(own, run, "doc_id long, held_out boolean, score double, predicted int", binary_text=True)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs that score_quality predicts to be good, with all their columns as they are."""
+    model = train(docs, labels, ~F.coalesce(held_out, F.lit(False)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            yield batch.filter(pa.array(model.score(features([t or b"" for t in texts])) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -12,7 +12,7 @@ from . import bpe, fingerprints, language_model, lines, near, packing, passages,
 from .common import table
 
 
-def _fold(folds: int):
+def fold(folds: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
 
 
@@ -25,7 +25,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_model.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _fold(4) == 2)
+    return quality_model.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(4) == 2)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.score_texts(table(spark, sf_dir, "documents"), _fold(5) == 1)
+    return language_model.score_texts(table(spark, sf_dir, "documents"), fold(5) == 1)
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
