@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language_model, lines, near, packing, passages, quality_model, quality_rules, token_count
+from . import bpe, fingerprints, language_model, lines, near, packing, passages, quality_model, quality_rules, sql, token_count
 from .common import table
 
 
@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality_rules": sql.quality_rules(), "op7_ngram_join": sql.ngram_groups(), "op10_repeated_passages": sql.repeated_passages()}
