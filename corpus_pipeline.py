@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from blockflow.llm import lines, near, packing, passages, quality_model
-from blockflow.llm.common import shared_dir, table
+from blockflow.llm.common import cut, table
 from blockflow.llm.queries import fold
 
 
@@ -41,8 +39,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet to the shared folder and read again by the next."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
