@@ -9,10 +9,11 @@ tree: candidates of a probe lie in lexicographic order, one descent shares the
 overlap that neighbours have in common, and a branch is left as soon as what
 remains of it cannot reach the overlap needed.
 
-Equal sets stand for one another from the start. Links are sought in two
-passes: first every set against the least partner under each child, which
-joins large groups of copies without forming their pairs; then only pairs that
-the links found so far have not joined."""
+Equal sets stand for one another from the start. Links are sought in
+passes: every set is first joined with its least and its nearest partner, then
+once more with those not yet joined with it, which unites large groups of
+copies without forming their pairs; last, all pairs that may match and that the
+links found so far have not joined are verified."""
 
 from __future__ import annotations
 
@@ -155,26 +156,23 @@ class _Group:
         self.whole = np.array([not (len(v) != BUCKETS and 255 in v) for v in vectors])
         self.percent = percent
 
-    def may_match(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether sizes and bucket counts leave room for the likeness asked."""
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many n-grams two rows are known not to share, by their bucket counts; -1 where sizes or counts leave no room for the likeness asked."""
         ni, nj = self.n[i], self.n[j]
-        fits = 100 * np.minimum(ni, nj) >= self.percent * np.maximum(ni, nj)
-        k = np.flatnonzero(fits)
-        if len(k):
-            a, b = i[k], j[k]
+        out = np.full(len(i), -1, dtype=np.int64)
+        k = np.flatnonzero(100 * np.minimum(ni, nj) >= self.percent * np.maximum(ni, nj))
+        for s in range(0, len(k), 100_000):
+            q = k[s : s + 100_000]
+            a, b = i[q], j[q]
             # union - overlap = what the two don't share, at most (100 - percent)/100 of the union
-            room = (100 - self.percent) * (ni[k] + nj[k]) // (100 + self.percent)
-            apart = np.zeros(len(k), dtype=np.int64)
-            for s in range(0, len(k), 100_000):
-                x, y = a[s : s + 100_000], b[s : s + 100_000]
-                apart[s : s + 100_000] = np.abs(np.minimum(self.vector[x], 255) - np.minimum(self.vector[y], 255)).sum(axis=1)
-            good = apart <= room
-            for q in np.flatnonzero(good):
-                x, y = int(a[q]), int(b[q])
-                if x in self.more and y in self.more and np.abs(self.more[x] - self.more[y]).sum() > room[q]:
-                    good[q] = False
-            fits[k] = good
-        return fits
+            room = (100 - self.percent) * (ni[q] + nj[q]) // (100 + self.percent)
+            d = np.abs(np.minimum(self.vector[a], 255) - np.minimum(self.vector[b], 255)).sum(axis=1)
+            for r in np.flatnonzero(d <= room) if self.more else ():
+                x, y = int(a[r]), int(b[r])
+                if x in self.more and y in self.more:
+                    d[r] = np.abs(self.more[x] - self.more[y]).sum()
+            out[q] = np.where(d <= room, d, -1)
+        return out
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[list[pa.RecordBatch]]:
@@ -195,82 +193,123 @@ def _grouped(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[
         yield held
 
 
-def _first_pass(percent: int):
-    """For each row its least partner that may match (or itself, if it is one of a wide group), so that a group gives at most a pair a row."""
+def _walk(g: _Group, other_part: bool):
+    """Pairs of rows under one n-gram that may match, and their distance by counts; with other_part, only of rows not joined yet.
+
+    Groups up to WIDE are compared in full, and so are the rows of wider ones
+    that the largest joined part does not hold; without other_part wider groups
+    meet a few pivots only."""
+    border = np.concatenate([[0], np.flatnonzero(np.diff(g.gram)) + 1, [len(g.gram)]])
+    size = np.diff(border)
+    start, length = np.repeat(border[:-1], size), np.repeat(size, size)
+    row = np.arange(len(g.gram))
+    narrow = row[length <= WIDE]
+
+    def near(i: np.ndarray, j: np.ndarray):
+        if other_part:
+            differ = g.part[i] != g.part[j]
+            i, j = i[differ], j[differ]
+        d = g.apart(i, j)
+        fit = d >= 0
+        return i[fit], j[fit], d[fit]
+
+    for d in range(1, int(size[size <= WIDE].max(initial=1))):
+        narrow = narrow[narrow + d < start[narrow] + length[narrow]]
+        if not len(narrow):
+            break
+        yield near(narrow, narrow + d)
+    if not other_part:
+        wide = row[length > WIDE]
+        for step in range(8):  # by size, a few along the group
+            pivot = start[wide] + length[wide] * step // 8
+            yield near(wide[pivot != wide], pivot[pivot != wide])
+        return
+    for k in np.flatnonzero(size > WIDE):
+        rows = np.arange(border[k], border[k + 1])
+        names, times = np.unique(g.part[rows], return_counts=True)
+        if len(names) > 1:
+            for i in rows[g.part[rows] != names[times.argmax()]]:
+                yield near(np.full(len(rows) - 1, i), rows[rows != i])
+
+
+def _partners(percent: int, other_part: bool):
+    """For each row with a partner that may match: its least and its nearest one, so that a group gives at most a row for each it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in _grouped(batches):
             g = _Group(parts, percent)
             n = len(g.gram)
-            border = np.concatenate([[0], np.flatnonzero(np.diff(g.gram)) + 1, [n]])
-            size = np.diff(border)
-            start, length = np.repeat(border[:-1], size), np.repeat(size, size)
-            best = np.full(n, np.iinfo(np.int64).max)
-            seen = length > WIDE
-            row = np.arange(n)
-            narrow = row[~seen]
-            for d in range(1, int(size[size <= WIDE].max(initial=1))):
-                i = narrow[narrow + d < start[narrow] + length[narrow]]
-                if not len(i):
-                    break
-                i = i[g.may_match(i, i + d)]
-                j = i + d
-                seen[i] = seen[j] = True
-                np.minimum.at(best, i, g.rep[j])
-                np.minimum.at(best, j, g.rep[i])
-            wide = row[length > WIDE]
-            for step in (0, 1, 2, 3):  # pivots: by size, a few along the group
-                if len(wide):
-                    pivot = start[wide] + length[wide] * step // 4
-                    ok = (pivot != wide) & g.may_match(wide, pivot)
-                    np.minimum.at(best, wide[ok], g.rep[pivot[ok]])
-            keep = seen
-            partner = np.where(best == np.iinfo(np.int64).max, g.rep, best)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(g.rep, partner)[keep]), pa.array(np.maximum(g.rep, partner)[keep])], names=["a", "b"])
+            none = np.iinfo(np.int64).max
+            least, nearest = np.full(n, none), np.full(n, none)
+            distance = np.full(n, none)
+            for i, j, d in _walk(g, other_part):
+                for a, b in ((i, j), (j, i)):
+                    np.minimum.at(least, a, g.rep[b])
+                    best = distance.copy()
+                    np.minimum.at(best, a, d)
+                    win = (d == best[a]) & (d < distance[a])
+                    nearest[a[win]] = g.rep[b[win]]
+                    distance = best
+            live = least != none
+            if not other_part:
+                change = np.concatenate([[0], np.flatnonzero(np.diff(g.gram)) + 1, [n]])
+                live |= np.repeat(np.diff(change) > WIDE, np.diff(change))
+            least, nearest = np.where(least == none, g.rep, least), np.where(nearest == none, g.rep, nearest)
+            t = pa.Table.from_batches(parts).combine_chunks()
+            columns = [t.column(c).combine_chunks().filter(pa.array(live)) for c in ("gram", "rep", "n", "vector")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(least[live]), pa.array(nearest[live])], names=["gram", "rep", "n", "vector", "least", "nearest"])
 
     return run
 
 
-def _second_pass(percent: int):
+def _remaining(percent: int):
     """Pairs of rows under a common n-gram that may match and are not yet joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in _grouped(batches):
             g = _Group(parts, percent)
-            border = np.concatenate([[0], np.flatnonzero(np.diff(g.gram)) + 1, [len(g.gram)]])
-            size = np.diff(border)
-            start, length = np.repeat(border[:-1], size), np.repeat(size, size)
-            row = np.arange(len(g.gram))
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            narrow = row[length <= WIDE]
-            for d in range(1, int(size[size <= WIDE].max(initial=1))):
-                i = narrow[narrow + d < start[narrow] + length[narrow]]
-                i = i[g.part[i] != g.part[i + d]]
-                i = i[g.may_match(i, i + d)]
-                found.append((i, i + d))
-            for k in np.flatnonzero(size > WIDE):  # only rows outside the largest joined part are compared, with all
-                rows = np.arange(border[k], border[k + 1])
-                names, times = np.unique(g.part[rows], return_counts=True)
-                for i in rows[g.part[rows] != names[times.argmax()]]:
-                    j = rows[g.part[rows] != g.part[i]]
-                    j = j[g.may_match(np.full(len(j), i), j)]
-                    found.append((np.full(len(j), i), j))
-            i = np.concatenate([x for x, _ in found]) if found else row[:0]
-            j = np.concatenate([y for _, y in found]) if found else row[:0]
-            pairs = np.unique(np.stack([np.minimum(g.rep[i], g.rep[j]), np.maximum(g.rep[i], g.rep[j])]), axis=1) if len(i) else np.zeros((2, 0), np.int64)
+            found = [(np.minimum(g.rep[i], g.rep[j]), np.maximum(g.rep[i], g.rep[j])) for i, j, _ in _walk(g, True)]
+            pairs = np.stack([np.concatenate([x[s] for x in found]) if found else np.zeros(0, np.int64) for s in (0, 1)])
+            pairs = np.unique(pairs, axis=1) if pairs.size else pairs
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     return run
 
 
-def _sets(words: int, frequent: np.ndarray):
+#: Bits of the map that lets texts of wanted documents through; others that pass it do no harm.
+MAP_BITS = 1 << 25
+
+
+def _slot(ids: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (_mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x51ED27)) & np.uint64(MAP_BITS - 1)).astype(np.int64)
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slot(batch.column("rep").to_numpy())))], names=["slot"])
+
+
+def _map_of(ids: DataFrame) -> np.ndarray:
+    """Bit map of the ids' slots, of fixed size whatever their number; its words are put together by the executors."""
+    slots = ids.select("rep").mapInArrow(_slots, "slot long")
+    words = slots.groupBy(F.shiftright("slot", 5).alias("word")).agg(F.bit_or(F.pow(F.lit(2), F.pmod("slot", F.lit(32))).cast("long")).alias("bits")).toArrow()
+    out = np.zeros(MAP_BITS // 32, dtype=np.uint32)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
+def _sets(words: int, frequent: np.ndarray, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sets = batch.column("doc_id").to_pylist(), []
+            batch = batch.filter(pa.array(batch.column("doc_id").is_valid()))
+            slot = _slot(batch.column("doc_id").to_numpy())
+            batch = batch.filter(pa.array((wanted.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1))
+            ids, sets = batch.column("doc_id"), []
             for _, part in _buffers(_texts(batch)):
                 grams, begin = shingles(part, words)
                 sets += [_ordered(grams[begin[i] : begin[i + 1]], frequent).tobytes() for i in range(len(part))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(sets, type=pa.binary())], names=["rep", "grams"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sets, type=pa.binary())], names=["rep", "grams"])
 
     return run
 
@@ -304,16 +343,30 @@ class Descent:
         return depth == n and 100 * have >= self.percent * (self.size + n - have)
 
 
+def _among(wanted):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = _slot(batch.column("rep").to_numpy())
+            yield batch.filter(pa.array((wanted.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1))
+
+    return run
+
+
+def _of_pairs(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets that the pairs need (and few others), so that the joins move no more."""
+    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+    return cut(sets.mapInArrow(_among(sets.sparkSession.sparkContext.broadcast(_map_of(ids))), sets.schema))
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, descent = None, None
         for batch in batches:
             out: list[list] = [[], []]
-            for a, salt, b, grams in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b", "grams")), strict=True):
-                s = np.frombuffer(grams, dtype=np.uint64)
-                if b is None:
-                    at, descent = (a, salt), Descent(s, percent)
-                elif at == (a, salt) and descent.matches(s):
+            for a, b, probe, grams in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("probe"), batch.column("grams").to_pylist(), strict=True):
+                if descent is None or at != a:
+                    at, descent = a, Descent(np.frombuffer(probe.as_py(), dtype=np.uint64), percent)
+                if descent.matches(np.frombuffer(grams, dtype=np.uint64)):
                     out[0].append(a)
                     out[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in out], names=["a", "b"])
@@ -321,14 +374,25 @@ def _verify(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Those of the pairs that are as alike as asked. A probe with many candidates is dealt out by a salt."""
-    degree = pairs.groupBy("a").agg(F.count("*").alias("degree"))
-    salted = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / 64)).alias("salt"))
-    candidates = salted.join(sets, salted.b == sets.rep).select("a", "salt", "b", "grams")
-    probes = salted.select("a", "salt").distinct().join(sets, F.col("a") == F.col("rep")).select("a", "salt", F.lit(None).cast("long").alias("b"), "grams")
-    ordered = candidates.union(probes).repartition(parts, "a", "salt").sortWithinPartitions(F.col("a"), F.col("salt"), F.col("b").isNotNull(), F.col("grams"))
-    return ordered.mapInArrow(_verify(percent), "a long, b long")
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs that are as alike as asked. Joins deal a probe with many candidates out anew; a part of them is a tree of its own."""
+    candidates = pairs.join(sets.withColumnRenamed("rep", "b"), "b")
+    both = candidates.join(sets.select(F.col("rep").alias("a"), F.col("grams").alias("probe")), "a")
+    return both.select("a", "b", "probe", "grams").sortWithinPartitions("a", "grams").mapInArrow(_verify(percent), "a long, b long")
+
+
+def _pairs(rows: DataFrame, *partners: str) -> DataFrame:
+    """A row's best partners over all n-grams: at most one pair for each kind and row."""
+    best = rows.groupBy("rep").agg(F.min("least").alias("least"), F.min(F.struct("nearest")).alias("nearest")).select("rep", "least", F.col("nearest.nearest").alias("nearest"))
+    both = best.select("rep", F.explode(F.array(*partners)).alias("with")).where("rep != with")
+    return both.select(F.least("rep", "with").alias("a"), F.greatest("rep", "with").alias("b")).distinct()
+
+
+def _not_joined(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """Rows of the groups that hold more than one component, each with its own."""
+    labelled = rows.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    apart = labelled.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("gram")
+    return cut(labelled.join(apart, "gram", "left_semi").select("gram", "rep", "n", "vector", "component"))
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -361,18 +425,31 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     shared = under.withColumn("many", F.count("*").over(Window.partitionBy("gram"))).where("many > 1").select("gram", "rep", "n")
     vectors = chosen.select(F.col("rep").alias("vrep"), F.col("n").alias("vn"), "vector")
     active = cut(shared.join(vectors, (F.col("rep") == F.col("vrep")) & (F.col("n") == F.col("vn"))).select("gram", "rep", "n", "vector"))
-    ordered = active.repartition(parts, "gram").sortWithinPartitions("gram", "n", "rep")
-    stars = cut(ordered.mapInArrow(_first_pass(percent), "a long, b long").distinct())
-    members = stars.select(F.col("a").alias("rep")).union(stars.select(F.col("b").alias("rep"))).distinct()
-    rep_texts = docs.join(members, docs.doc_id == members.rep, "left_semi")
-    sets = cut(rep_texts.mapInArrow(_sets(words, frequent), "rep long, grams binary"))
-    first = _links(stars.where("a != b"), sets, percent, parts)
-    joined = components(first)
-    labelled = active.join(members, "rep", "left_semi").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    apart = labelled.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("gram")
-    left = labelled.join(apart, "gram", "left_semi").repartition(parts, "gram").sortWithinPartitions("gram", "n", "rep")
-    pairs = cut(left.mapInArrow(_second_pass(percent), "a long, b long").distinct())
-    second = _links(pairs, sets, percent, parts)
+    in_groups = lambda df: df.repartition(parts, "gram").sortWithinPartitions("gram", "n", "rep")
+    partnered = "gram long, rep long, n long, vector binary, least long, nearest long"
+    live = cut(in_groups(active).mapInArrow(_partners(percent, False), partnered))
+    wanted = spark.sparkContext.broadcast(_map_of(live.select("rep").distinct()))
+    sets = cut(docs.mapInArrow(_sets(words, frequent, wanted), "rep long, grams binary"))
+    rows = live.select("gram", "rep", "n", "vector")
+    joined = components(_links(cut(_pairs(live, "least", "nearest")), sets, percent))
+    rows = _not_joined(rows, joined)
+    again = in_groups(rows).mapInArrow(_partners(percent, True), partnered)
+    pairs = cut(_pairs(again, "least", "nearest"))
+    more = _links(pairs, _of_pairs(sets, pairs), percent)
+    joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    rows = _not_joined(live.select("gram", "rep", "n", "vector"), joined)
+    pairs = cut(in_groups(rows).mapInArrow(_remaining(percent), "a long, b long").distinct())
+    second = _links(pairs, _of_pairs(sets, pairs), percent)
     same_set = known.join(reps, ["n", "a", "b"]).where("doc_id != rep").select(F.col("doc_id").alias("b"), F.col("rep").alias("a"))
     final = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second).union(same_set.select("a", "b")))
     return info.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """docs with the document of least doc_id of each group of near_groups; all columns stay.
+
+    Rows of equal doc_id are one document and one of them stays; documents
+    without words and rows without doc_id are in no group and stay."""
+    heads = near_groups(docs, words, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_head")).distinct()
+    kept = docs.join(heads, docs.doc_id == heads._head, "left_semi")
+    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
