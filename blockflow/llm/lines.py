@@ -64,8 +64,11 @@ def _key(line: Column, length: Column, i: int, start: Column, size: Column) -> C
 
 
 def index_keys(line: Column, edits: int) -> Column:
+    """A line's own keys, each with those of the segments before it (e0, e1, ...; null from its own on)."""
     n = F.length(line)
-    return F.array(*[_key(line, n, i, *_segment(n, i, edits)) for i in range(edits + 1)])
+    keys = [_key(line, n, i, *_segment(n, i, edits)) for i in range(edits + 1)]
+    none = F.lit(None).cast("long")
+    return F.array(*[F.struct(keys[i].alias("key"), *[(keys[j] if j < i else none).alias(f"e{j}") for j in range(edits)]) for i in range(edits + 1)])
 
 
 def probe_keys(line: Column, edits: int) -> Column:
@@ -95,15 +98,19 @@ def _occurrences(docs: DataFrame, with_line: bool = True) -> DataFrame:
 def near_pairs(docs: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
     """Distinct lines (h, m: first place and line), and the pairs of them within `edits` edits with their first places."""
     lines = _occurrences(docs).groupBy("h").agg(F.min(F.struct("doc_id", "version", "place", "line")).alias("m"))
-    index = lines.select("h", F.explode(index_keys(F.col("m.line"), edits)).alias("key"))
+    index = lines.select("h", F.explode(index_keys(F.col("m.line"), edits)).alias("k")).select("h", "k.*")
     probes = lines.select("h", F.explode(probe_keys(F.col("m.line"), edits)).alias("key")).where("key IS NOT NULL")
     a, b = index.alias("a"), index.alias("b")
-    same_length = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.h") < F.col("b.h"))).select(F.col("a.h").alias("x"), F.col("b.h").alias("y"))
+    meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.h") < F.col("b.h"))
+    for j in range(edits):  # at the first segment they share, and there alone
+        meet = meet & F.coalesce(F.col(f"a.e{j}") != F.col(f"b.e{j}"), F.lit(True))
+    same_length = a.join(b, meet).select(F.col("a.h").alias("x"), F.col("b.h").alias("y"))
     p = probes.alias("p")
     others = a.join(p, (F.col("a.key") == F.col("p.key")) & (F.col("a.h") != F.col("p.h"))).select(F.least("a.h", "p.h").alias("x"), F.greatest("a.h", "p.h").alias("y"))
     pairs = same_length.union(others).distinct()
     texts = pairs.join(lines.select(F.col("h").alias("x"), F.col("m").alias("mx")), "x").join(lines.select(F.col("h").alias("y"), F.col("m").alias("my")), "y")
-    near = texts.where(within_edits(F.col("mx.line"), F.col("my.line"), edits))
+    likely = F.levenshtein(F.col("mx.line"), F.col("my.line"), edits) >= 0  # cheap, compiled: what fails here never gets to the automaton
+    near = texts.where(likely & within_edits(F.col("mx.line"), F.col("my.line"), edits))
     place = lambda m: F.struct(F.col(f"{m}.doc_id").alias("doc_id"), F.col(f"{m}.version").alias("version"), F.col(f"{m}.place").alias("place"))
     return lines, near.select("x", "y", place("mx").alias("px"), place("my").alias("py"))
 
