@@ -6,8 +6,10 @@ comes from the longest context that knows it; each context that doesn't costs
 an escape (estimated from its number of distinct symbols, method C) and
 excludes its symbols further down. A shorter context knows all that a longer
 one knows, so what is excluded depends on the context alone and its sums are
-kept with the trie; scoring is then a look-up for each distinct n-gram of a
-chunk. Begin and end of a text are bytes that UTF-8 never uses."""
+kept with the trie. Every distinct n-gram of the corpus gets its probability
+once, in parts of the trie that share the last bytes of their contexts; the
+frequent ones go to all workers, the others' are joined to the texts. Begin and
+end of a text are bytes that UTF-8 never uses."""
 
 from __future__ import annotations
 
@@ -24,8 +26,10 @@ from .near import _buffers, _texts, shingles
 BEGIN, END = 0xFE, 0xFF
 #: Bytes of context.
 ORDER = 5
-#: At most so many entries of the trie a context length; where a corpus has more, the rarest go (whole powers of two of their counts).
+#: N-grams whose probabilities go to all workers, at most so many, the most frequent; the others' are joined.
 NODES = 1_000_000
+#: Last bytes of a context that deal the trie out; shorter contexts have 256 ** SHARED entries at most and go to all parts.
+SHARED = 2
 #: Words whose counts go to all workers; the others' counts are joined.
 COMMON_WORDS = 500_000
 #: The end of a text as a token.
@@ -92,7 +96,7 @@ class Trie:
 
 
 def _gather(order: int):
-    """Counts of n-grams (level 0) and of words (level 1) in the texts; each batch in buffers, summed a task at a time."""
+    """Counts of n-grams (level 0) and of words (level 1) in the training texts, and n-grams of the held out with count 0; each batch in buffers, summed a task at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
@@ -108,11 +112,16 @@ def _gather(order: int):
                 parts.clear()
 
         for batch in batches:
-            for _, part in _buffers(_texts(batch)):
-                for parts, code in zip(held, (grams(part, order)[0], np.concatenate([shingles(part, 1)[0], np.full(len(part), END_TOKEN, dtype=np.uint64)])), strict=True):
-                    u, n = np.unique(code, return_counts=True)
-                    parts.append((u, n.astype(np.int64)))
-                    size += len(u)
+            texts, aside = _texts(batch), batch.column("held_out").to_pylist()
+            for trains in (True, False):
+                for _, part in _buffers([t for t, h in zip(texts, aside, strict=True) if h != trains]):
+                    codes = [grams(part, order)[0]]
+                    if trains:
+                        codes.append(np.concatenate([shingles(part, 1)[0], np.full(len(part), END_TOKEN, dtype=np.uint64)]))
+                    for parts, code in zip(held, codes, strict=False):
+                        u, n = np.unique(code, return_counts=True)
+                        parts.append((u, n.astype(np.int64) * trains))
+                        size += len(u)
                 if size > 4_000_000:
                     before = size
                     for parts in held:
@@ -135,44 +144,79 @@ def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return code[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _levels(counts: DataFrame, order: int, nodes: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The trie's entries for context lengths 0 to order, each bounded by `nodes`; sums are over the whole corpus."""
-    level = counts
-    least = None
-    out = []
-    for j in range(order, -1, -1):
-        if j < order:
-            level = cut(level.groupBy(F.col("code").bitwiseAND(F.lit((1 << (8 * (j + 1))) - 1)).alias("code")).agg(F.sum("times").alias("times")))
-        by_size = level.groupBy(F.floor(F.log2("times")).cast("int").alias("size")).agg(F.count("*").alias("entries")).toArrow().to_pylist()
-        room, floor = nodes, 0
-        for r in sorted(by_size, key=lambda r: -r["size"]):
-            if r["entries"] > room:
-                floor = r["size"] + 1
-                break
-            room -= r["entries"]
-        # a shorter context must know whatever a longer one does, so no bound lies above that of the longer
-        least = floor if least is None else min(floor, least)
-        t = level.where(F.col("times") >= F.lit(1 << least)).toArrow()
-        code, n = t.column("code").to_numpy().view(np.uint64), t.column("times").to_numpy()
-        at = np.argsort(code)
-        out.append((code[at], n[at]))
-    return out[::-1]
+def _lower(code: np.ndarray, n: np.ndarray, longest: int, shortest: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The trie's entries for context lengths shortest to longest, from those of the longest."""
+    levels = [summed([(code, n)])]
+    for j in range(longest - 1, shortest - 1, -1):
+        c, m = levels[-1]
+        levels.append(summed([(c & np.uint64((1 << (8 * (j + 1))) - 1), m)]))
+    return levels[::-1]
+
+
+def _probabilities(order: int, shared: int, short: list[tuple[np.ndarray, np.ndarray]]):
+    """log10 of each n-gram's probability. A part of them holds all that end in the same `shared` bytes of context, so its counts of longer contexts are whole; `short` has the shorter ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column("code").to_numpy().view(np.uint64), b.column("times").to_numpy()) for b in batches if b.num_rows]
+        if not held:
+            return
+        code, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        trains = n > 0
+        value = Trie(short + _lower(code[trains], n[trains], order, shared)).log10(code)
+        for i in range(0, len(code), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 200_000]) for x in (code.view(np.int64), n, value)], names=["code", "times", "value"])
+
+    return run
+
+
+def _model(counts: DataFrame, order: int) -> DataFrame:
+    """code, times and value (log10 of the probability) of every n-gram of the corpus; counts has times 0 where only held-out texts have it."""
+    shared = min(SHARED, order)
+    short = []
+    if shared:
+        tail = F.col("code").bitwiseAND(F.lit((1 << (8 * shared)) - 1)).alias("code")
+        t = counts.where("times > 0").groupBy(tail).agg(F.sum("times").alias("times")).toArrow()
+        short = _lower(t.column("code").to_numpy().view(np.uint64), t.column("times").to_numpy(), shared - 1, 0)
+    part = F.shiftright("code", 8).bitwiseAND(F.lit((1 << (8 * shared)) - 1)).alias("part")
+    dealt = counts.select("code", "times", part).repartition("part").select("code", "times")
+    return cut(dealt.mapInArrow(_probabilities(order, shared, short), "code long, times long, value double"))
+
+
+def _frequent(model: DataFrame, nodes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and values of at most `nodes` n-grams, the most frequent by classes of their counts."""
+    size = F.floor(8 * F.log2("times")).cast("int")
+    by_size = model.where("times > 0").groupBy(size.alias("size")).agg(F.count("*").alias("entries")).toArrow().to_pylist()
+    floor = None
+    for r in sorted(by_size, key=lambda r: -r["size"]):
+        if r["entries"] > nodes:
+            break
+        nodes, floor = nodes - r["entries"], r["size"]
+    t = model.where((F.col("times") > 0) & (size >= F.lit(floor))).select("code", "value").toArrow()
+    code, value = t.column("code").to_numpy().view(np.uint64), t.column("value").to_numpy()
+    at = np.argsort(code)
+    return code[at], value[at]
 
 
 def _score(model, order: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, common, times, all_tokens, kinds = model.value
+        frequent, chance, common, times, all_tokens, kinds = model.value
         scale = np.log10(all_tokens + 0.5 * (kinds + 1))
         weight = np.log10(times + 0.5) - scale
         end = np.searchsorted(common, np.uint64(END_TOKEN))
         ended = len(common) > end and common[end] == END_TOKEN
         for batch in batches:
             texts = _texts(batch)
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[], [], [], [], [], [], []]
             for _, part in _buffers(texts):
                 code, begin = grams(part, order)
                 u, back = np.unique(code, return_inverse=True)
-                total = np.add.reduceat(trie.log10(u)[back], begin[:-1])
+                g = np.minimum(np.searchsorted(frequent, u), max(0, len(frequent) - 1))
+                found = frequent[g] == u if len(frequent) else np.zeros(len(u), dtype=bool)
+                total = np.add.reduceat(np.where(found, chance[g], 0.0)[back] if len(frequent) else np.zeros(len(code)), begin[:-1])
+                at_rare = np.flatnonzero(~found[back])
+                pair, times_in = np.unique((np.searchsorted(begin, at_rare, side="right") - 1) * len(u) + back[at_rare], return_counts=True)
+                rare = u[pair % len(u)].view(np.int64)
+                ends = np.searchsorted(pair // len(u), np.arange(len(part) + 1))
                 word, at = shingles(part, 1)
                 k = np.minimum(np.searchsorted(common, word), max(0, len(common) - 1))
                 hit = common[k] == word if len(common) else np.zeros(len(word), dtype=bool)
@@ -184,6 +228,8 @@ def _score(model, order: int, schema: pa.Schema):
                 rows[2] += (value[at[1:]] - value[at[:-1]] + (weight[end] if ended else np.log10(0.5) - scale)).tolist()
                 rows[3] += total.tolist()
                 rows[4] += [word[a:b][~hit[a:b]].view(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)]
+                rows[5] += [rare[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                rows[6] += [times_in[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
             columns = [batch.column("row"), batch.column("doc_id"), batch.column("held_out"), *rows]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -197,31 +243,35 @@ def score_texts(docs: DataFrame, held_out, order: int = ORDER, nodes: int = NODE
     train. A null text counts as empty: one token, its end. Repeated rows train
     and score each. With nothing to train on every base score is 0 and the model
     is uniform over bytes. Other columns are not read; an empty table gives no
-    rows. Words are told apart by 64-bit hashes."""
+    rows. Words are told apart by 64-bit hashes. The model has every n-gram and
+    word of the training texts; nodes and common_words bound what is sent to
+    all workers, not the results."""
     spark = docs.sparkSession
     small_batches(spark)
     own = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    gathered = own.where(~F.col("held_out")).select("text").mapInArrow(_gather(order), "level int, code long, times long")
+    gathered = own.select("text", "held_out").mapInArrow(_gather(order), "level int, code long, times long")
     counts = cut(gathered.groupBy("level", "code").agg(F.sum("times").alias("times")), "level")
-    levels = _levels(counts.where("level = 0").select("code", "times"), order, nodes)
+    chances = _model(counts.where("level = 0").select("code", "times"), order)
     words = counts.where("level = 1").select("code", "times")
     all_tokens, kinds = words.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count("*")).first()
     top = words.orderBy(F.desc("times"), "code").limit(common_words).toArrow()
     code, times = top.column("code").to_numpy().view(np.uint64), top.column("times").to_numpy()
     at = np.argsort(code)
-    model = spark.sparkContext.broadcast((Trie(levels), code[at], times[at], all_tokens, kinds))
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>"
+    model = spark.sparkContext.broadcast((*_frequent(chances, nodes), code[at], times[at], all_tokens, kinds))
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, grams array<long>, uses array<long>"
     numbered = own.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     scored = cut(numbered.mapInArrow(_score(model, order, _arrow_schema(spark, schema)), schema))
     rare = scored.select("row", F.explode("rare").alias("code")).join(words, "code", "left")
     scale = float(np.log10(all_tokens + 0.5 * (kinds + 1)))
     more = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("times", F.lit(0)) + 0.5) - F.lit(scale)).alias("more_score"), F.count("times").alias("more_known"))
-    return scored.join(more, "row", "left").select(
+    used = scored.select("row", F.explode(F.arrays_zip("grams", "uses")).alias("g")).select("row", F.col("g.grams").alias("code"), F.col("g.uses").alias("uses"))
+    grams_more = used.join(chances.select("code", "value"), "code").groupBy("row").agg(F.sum(F.col("uses") * F.col("value")).alias("gram_score"))
+    return scored.join(more, "row", "left").join(grams_more, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(int(all_tokens)).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("more_score", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("gram_score", F.lit(0.0))).alias("score"),
     )

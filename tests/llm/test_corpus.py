@@ -210,6 +210,21 @@ def test_scores_match_brute_force(spark):
     assert one[0].code == []
 
 
+def test_scores_do_not_depend_on_what_is_broadcast(spark):
+    rng = random.Random(9)
+    pool = vocabulary(rng, 200)
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(rng.randint(0, 80)))) for i in range(40)] + [(50, None), (51, "ñ 日本 never met")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole, few, none = ({r.doc_id: r.score for r in language_model.score_texts(df, fold(5) == 1, nodes=n).collect()} for n in (10**6, 40, 0))
+    assert len(whole) == len(rows) and few == pytest.approx(whole) and none == pytest.approx(whole)
+    for order in (0, 1, 2):
+        a, b = ({r.doc_id: r.score for r in language_model.score_texts(df, fold(5) == 1, order=order, nodes=n).collect()} for n in (10**6, 3))
+        assert a == pytest.approx(b)
+    held = language_model.score_texts(df, fold(1) == 0)
+    assert {r.doc_id: r.score for r in held.collect()} == pytest.approx({d: -math.log10(256) * (len((t or "").encode()) + 1) for d, t in rows})
+    assert language_model.score_texts(df.limit(0), fold(5) == 1).count() == 0
+
+
 # -- quality
 
 
