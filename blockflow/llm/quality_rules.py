@@ -28,8 +28,6 @@ RULES = {
     "marks": ("n_marks", "word_chars"),
 }
 STEPS = 100
-#: Strata with the most labels get cutoffs of their own; documents of others are judged by the base alone.
-STRATA = 1000
 
 
 def _repeat_words(words: Column) -> Column:
@@ -91,8 +89,7 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
 
 def cutoffs(labelled: DataFrame, alpha: float, delta: float, price: float) -> DataFrame:
     """stratum and the cutoff of each rule (STEPS + 1: none); labelled has stratum, quality and a rate column for each rule."""
-    sizes = labelled.groupBy("stratum").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count("*").alias("labels"))
-    sizes = sizes.orderBy(F.desc("labels"), "stratum").limit(STRATA).select("stratum", "good")
+    sizes = labelled.groupBy("stratum").agg(F.count_if(F.col("quality") == 1).alias("good"))
     rates = labelled.select("stratum", "quality", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("rate")) for r in RULES])).alias("x")).select("stratum", "quality", "x.*")
     cells = rates.where("rate > 0").groupBy("stratum", "rule", "rate").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
     # a cell counts for every cutoff up to its rate: at most STEPS rows a cell, and STEPS cells a rule and stratum
@@ -122,10 +119,8 @@ def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta:
     stats = cut(text_statistics(docs).withColumn("base_failed", base).withColumns(rate))
     truth = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").select("doc_id", "quality")
     labelled = stats.where("NOT base_failed").join(truth, "doc_id").select("stratum", "quality", *RULES)
-    table = cutoffs(labelled, alpha, delta, price)
-    as_map = table.select(F.map_from_entries(F.collect_list(F.struct(F.col("stratum"), F.struct(*RULES).alias("c"))))).scalar()
-    limit = F.element_at(F.col("cutoffs"), F.col("stratum"))
+    limits = cut(cutoffs(labelled, alpha, delta, price).withColumnsRenamed({r: f"{r}_limit" for r in RULES}))
     rejected = F.lit(False)
     for r in RULES:
-        rejected = rejected | (F.col(r) >= F.coalesce(limit[r], F.lit(STEPS + 1)))
-    return stats.withColumn("cutoffs", as_map).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"), *[F.col(r).alias(f"{r}_rate") for r in RULES])
+        rejected = rejected | (F.col(r) >= F.coalesce(f"{r}_limit", F.lit(STEPS + 1)))
+    return stats.join(limits, "stratum", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"), *[F.col(r).alias(f"{r}_rate") for r in RULES])

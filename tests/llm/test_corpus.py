@@ -260,6 +260,14 @@ def test_binomial_bound_and_cutoffs(spark):
     assert got["en"].symbols == 40 and got["en"].upper == quality_rules.STEPS + 1 and "fr" not in got
 
 
+def test_every_stratum_gets_its_cutoffs(spark):
+    n = 1200
+    docs = spark.range(n * 13).selectExpr("id AS doc_id", f"concat('l', id % {n}) AS lang", f"id < {n} AS bad").selectExpr("doc_id", "lang", "bad", "concat(concat_ws(' ', transform(sequence(1, 60), i -> concat('w', i))), if(bad, repeat('#', 200), '')) AS text")
+    labels = docs.selectExpr("doc_id", "if(bad, 0, 1) AS quality")
+    kept = {r.doc_id: r.kept for r in quality_rules.apply_rules(docs, labels, alpha=4.5).collect()}
+    assert kept == {i: i >= n for i in range(n * 13)}
+
+
 def test_quality_model_separates_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     truth = {r.doc_id: r.quality for r in labels.collect()}
