@@ -457,10 +457,15 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
 
 def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with the document of least doc_id of each group of near_groups; all columns stay.
+    """docs with the document of least doc_id of each group; all columns stay.
 
-    Rows of equal doc_id are one document and one of them stays; documents
+    Groups are those of near_groups with each distinct text of a doc_id (null
+    as empty) a document of its own: unlike texts of one id all stay, of equal
+    rows one does, and among near copies of one id a hash decides. Documents
     without words and rows without doc_id are in no group and stay."""
-    heads = near_groups(docs, words, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_head")).distinct()
-    kept = docs.join(heads, docs.doc_id == heads._head, "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    keyed = docs.where("doc_id IS NOT NULL").withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    groups = near_groups(keyed.select(F.col("_key").alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("_key"), "component_id")
+    members = groups.distinct().join(keyed.select("_key", "doc_id").distinct(), "_key")
+    heads = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key"))["_key"].alias("_key")).select("_key")
+    kept = keyed.join(heads, "_key", "left_semi").dropDuplicates(["_key"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

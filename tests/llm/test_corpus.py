@@ -108,6 +108,15 @@ def test_groups_match_brute_force(spark, monkeypatch, seed, words, percent, wide
         assert near.near_groups(df.limit(0), words, percent).count() == 0
 
 
+def test_unlike_texts_of_one_id_all_stay(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b + " more"), (3, c), (3, c + " more"), (3, c), (4, None), (4, "x y"), (None, a)]
+    for parts in (1, 5):
+        kept = [tuple(r) for r in near.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()]
+        assert sum(d == 3 for d, _ in kept) == 1 and {t for d, t in kept if d == 3} <= {c, c + " more"}
+        same([r for r in kept if r[0] != 3], [(1, a), (1, b), (4, None), (4, "x y"), (None, a)])
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(40)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(50)] + [(7, 7)]
