@@ -5,16 +5,27 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..runtime.durable import delete, freed_shuffles, shared_dir
 from ..runtime.ship import ship
 
 #: Bytes that separate words; everything else belongs to a word.
 WORD_SEPARATORS = "\x20\x09\x0a\x0b\x0c\x0d"
 #: Rows of an Arrow batch; documents are a few kB each, so a batch stays at some MB.
 BATCH_ROWS = 1000
+#: Paths of the cuts that are alive, by scope; those of the outermost one go when the process ends.
+_scopes: list[dict[str, SparkSession]] = [{}]
+
+
+@atexit.register
+def _drop_rest() -> None:
+    for held in _scopes:
+        for path, spark in held.items():
+            delete(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,37 +33,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at once, and see that it can import this package."""
+    """Bound the rows of an Arrow batch, and see that Python workers can import this package.
+
+    Spark bounds a batch's bytes too (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set), which is what holds for very long texts."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the cluster names none."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = "file:///tmp/blockflow-checkpoints"
-    return where.rstrip("/")
+def cut(df: DataFrame, *spent: DataFrame, partition_by: str | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage ends there and no executor's loss undoes it.
 
-
-def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there and no executor's loss undoes it."""
+    The job's shuffle files go with the job's end, and with them the cuts in
+    `spent`, whose last reader this was. What is left goes with the innermost
+    `scope`, or when the process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     schema = df.schema
-    writer = df.write
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(schema).parquet(path)
-
+    with freed_shuffles(spark):
+        (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+    _scopes[-1][path] = spark
+    drop(*spent)
+    out = spark.read.schema(schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(*cuts: DataFrame) -> None:
+    """Delete cuts that nothing reads any more; other frames are passed over."""
+    for df in cuts:
+        path = df.__dict__.get("_cut_path")
+        for held in _scopes:
+            if path in held:
+                delete(held.pop(path), path)
+
+
+@contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Cuts made inside go at the end, but for those passed to the function that this gives, which outlive it."""
+    held: dict[str, SparkSession] = {}
+    above = _scopes[-1]
+    _scopes.append(held)
+
+    def outlive(df: DataFrame) -> DataFrame:
+        if (path := df.__dict__.get("_cut_path")) in held:
+            above[path] = held.pop(path)
+        return df
 
-def _drop(spark: SparkSession, path: str) -> None:
     try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the JVM is gone at exit: the folder is the cluster's to clean
-        pass
+        yield outlive
+    finally:
+        _scopes.pop()
+        for path, spark in held.items():
+            delete(spark, path)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, binary_text: bool = False) -> DataFrame:

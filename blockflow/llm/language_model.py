@@ -250,7 +250,7 @@ def score_texts(docs: DataFrame, held_out, order: int = ORDER, nodes: int = NODE
     small_batches(spark)
     own = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     gathered = own.select("text", "held_out").mapInArrow(_gather(order), "level int, code long, times long")
-    counts = cut(gathered.groupBy("level", "code").agg(F.sum("times").alias("times")), "level")
+    counts = cut(gathered.groupBy("level", "code").agg(F.sum("times").alias("times")), partition_by="level")
     chances = _model(counts.where("level = 0").select("code", "times"), order)
     words = counts.where("level = 1").select("code", "times")
     all_tokens, kinds = words.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count("*")).first()

@@ -18,13 +18,14 @@ links found so far have not joined are verified."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, cut, small_batches
+from .common import _arrow_schema, cut, drop, scope, small_batches
 from .components import components
 from .passages import BYTE, _mix, _powers
 
@@ -32,12 +33,12 @@ SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-#: At most so many of the most frequent n-grams come last in the global order; any number gives the same links.
-FREQUENT = 65_536
+#: At most so many of the most frequent n-grams come last in the global order, by how often they are met; any number gives the same links.
+FREQUENT = 1 << 20
 #: Bytes of texts handled at once.
 BUFFER = 1 << 20
-#: Buckets of the counts that bound overlaps, for sets below and from LARGE n-grams.
-BUCKETS, MORE_BUCKETS, LARGE = 64, 512, 4096
+#: Least and most buckets, as powers of 2, of the counts that bound overlaps.
+LEAST_LEVEL, MOST_LEVEL = 4, 9
 #: Groups under one n-gram beyond this are compared with a few pivots in the first pass.
 WIDE = 256
 
@@ -90,30 +91,53 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
-def _ordered(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Distinct n-grams in the global order: by hash, the frequent ones last."""
+def _ordered(grams: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Distinct n-grams in the global order: by hash, the frequent ones last and by rank among themselves."""
     s = np.unique(grams)
     if len(frequent) and len(s):
         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
         late = frequent[at] == s
         if late.any():
-            s = np.concatenate([s[~late], s[late]])
+            last = s[late]
+            s = np.concatenate([s[~late], last[np.argsort(rank[at[late]], kind="stable")]])
     return s
 
 
 def _count_frequent(words: int, least: int):
+    """Times of the n-grams met `least` times or more among a task's neighbouring texts; those met once in a buffer are not counted there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            u, back = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
+            c = np.bincount(back, np.concatenate([t for _, t in held])).astype(np.int64)
+            many = c >= least
+            return pa.RecordBatch.from_arrays([pa.array(u[many].view(np.int64)), pa.array(c[many])], names=["gram", "times"])
+
         for batch in batches:
             for _, part in _buffers(_texts(batch)):
                 s, _ = shingles(part, words)
                 u, c = np.unique(s, return_counts=True)
-                many = c >= least
-                yield pa.RecordBatch.from_arrays([pa.array(u[many].view(np.int64)), pa.array(c[many].astype(np.int64))], names=["gram", "times"])
+                held.append((u[c > 1], c[c > 1]))
+                size += len(held[-1][0])
+                if size > BUFFER:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
 
     return run
 
 
-def _describe(words: int, percent: int, frequent: np.ndarray, schema: pa.Schema):
+def _level(n: int, percent: int) -> int:
+    """Buckets (a power of 2) whose counts tell unlike sets of this size apart: their difference grows with the root of size times buckets, what likeness leaves room for with the size."""
+    enough = 7 * n * ((100 - percent) / (100 + percent)) ** 2
+    return min(MOST_LEVEL, max(LEAST_LEVEL, int(np.ceil(np.log2(max(1.0, enough))))))
+
+
+def _describe(words: int, percent: int, frequent: np.ndarray, rank: np.ndarray, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
@@ -121,12 +145,12 @@ def _describe(words: int, percent: int, frequent: np.ndarray, schema: pa.Schema)
             for at, part in _buffers(_texts(batch)):
                 grams, begin = shingles(part, words)
                 for i in range(len(part)):
-                    s = _ordered(grams[begin[i] : begin[i + 1]], frequent)
+                    s = _ordered(grams[begin[i] : begin[i + 1]], frequent, rank)
                     n = len(s)
                     with np.errstate(over="ignore"):
                         a, b = int(_mix(s).sum().view(np.int64)) if n else 0, int(_mix(s ^ np.uint64(0x5555555555555555)).sum().view(np.int64)) if n else 0
                     prefix = s[: n - -(-percent * n // 100) + 1]
-                    buckets = MORE_BUCKETS if n >= LARGE else BUCKETS
+                    buckets = 1 << _level(n, percent)
                     counts = np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) & (buckets - 1), minlength=buckets), 255).astype(np.uint8)
                     for column, value in zip(rows, (ids[at + i], n, a, b, prefix.view(np.int64), counts.tobytes()), strict=True):
                         column.append(value)
@@ -144,34 +168,39 @@ class _Group:
         self.gram, self.rep, self.n = get("gram"), get("rep"), get("n")
         self.part = get("component") if "component" in t.column_names else None
         vectors = t.column("vector").to_pylist()
-        self.vector = np.zeros((len(vectors), BUCKETS), dtype=np.int32)
-        self.more: dict[int, np.ndarray] = {}
-        short = [i for i, v in enumerate(vectors) if len(v) == BUCKETS]
-        if short:
-            self.vector[short] = np.frombuffer(b"".join(vectors[i] for i in short), dtype=np.uint8).reshape(-1, BUCKETS)
-        for i, v in enumerate(vectors):
-            if len(v) != BUCKETS:  # the low bits of a bucket's number are those of the coarse bucket
-                self.more[i] = full = np.frombuffer(v, dtype=np.uint8).astype(np.int32)
-                self.vector[i] = full.reshape(-1, BUCKETS).sum(axis=0)
-        self.whole = np.array([not (len(v) != BUCKETS and 255 in v) for v in vectors])
+        width = np.array([len(v) for v in vectors])
+        self.level = np.log2(width).astype(np.int64) if len(width) else width
+        #: By level: each row's line in the counts of that level, and the counts.
+        self.counts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for level in np.unique(self.level)[::-1].tolist():
+            own = np.flatnonzero(self.level == level)
+            full = np.frombuffer(b"".join([vectors[i] for i in own.tolist()]), dtype=np.uint8).reshape(-1, 1 << level).astype(np.int16)
+            rows = [own]
+            grids = [full]
+            if self.counts:  # wider rows fold down: the low bits of a bucket's number are those of the coarser bucket
+                finer = min(self.counts)
+                line, grid = self.counts[finer]
+                rows.append(np.flatnonzero(line >= 0))
+                grids.append(np.minimum(grid[line[rows[1]]].reshape(len(rows[1]), -1, 1 << level).sum(axis=1), 255).astype(np.int16))
+            line = np.full(len(vectors), -1, dtype=np.int64)
+            line[np.concatenate(rows)] = np.arange(sum(map(len, rows)))
+            self.counts[level] = line, np.concatenate(grids)
         self.percent = percent
 
     def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """How many n-grams two rows are known not to share, by their bucket counts; -1 where sizes or counts leave no room for the likeness asked."""
         ni, nj = self.n[i], self.n[j]
         out = np.full(len(i), -1, dtype=np.int64)
-        k = np.flatnonzero(100 * np.minimum(ni, nj) >= self.percent * np.maximum(ni, nj))
-        for s in range(0, len(k), 100_000):
-            q = k[s : s + 100_000]
-            a, b = i[q], j[q]
-            # union - overlap = what the two don't share, at most (100 - percent)/100 of the union
-            room = (100 - self.percent) * (ni[q] + nj[q]) // (100 + self.percent)
-            d = np.abs(np.minimum(self.vector[a], 255) - np.minimum(self.vector[b], 255)).sum(axis=1)
-            for r in np.flatnonzero(d <= room) if self.more else ():
-                x, y = int(a[r]), int(b[r])
-                if x in self.more and y in self.more:
-                    d[r] = np.abs(self.more[x] - self.more[y]).sum()
-            out[q] = np.where(d <= room, d, -1)
+        fit = 100 * np.minimum(ni, nj) >= self.percent * np.maximum(ni, nj)
+        common = np.minimum(self.level[i], self.level[j])
+        for level, (line, grid) in self.counts.items():
+            k = np.flatnonzero(fit & (common == level))
+            for s in range(0, len(k), 100_000):
+                q = k[s : s + 100_000]
+                # union - overlap = what the two don't share, at most (100 - percent)/100 of the union
+                room = (100 - self.percent) * (ni[q] + nj[q]) // (100 + self.percent)
+                d = np.abs(grid[line[i[q]]] - grid[line[j[q]]]).sum(axis=1, dtype=np.int64)
+                out[q] = np.where(d <= room, d, -1)
         return out
 
 
@@ -251,13 +280,14 @@ def _partners(percent: int, other_part: bool):
                     nearest[a[win]] = g.rep[b[win]]
                     distance = best
             live = least != none
-            if not other_part:
+            if not other_part:  # what has met a few of its group only stays for the next pass
                 change = np.concatenate([[0], np.flatnonzero(np.diff(g.gram)) + 1, [n]])
                 live |= np.repeat(np.diff(change) > WIDE, np.diff(change))
-            least, nearest = np.where(least == none, g.rep, least), np.where(nearest == none, g.rep, nearest)
+            none_found = least == none
+            least, nearest = np.where(none_found, g.rep, least), np.where(none_found, g.rep, nearest)
             t = pa.Table.from_batches(parts).combine_chunks()
-            columns = [t.column(c).combine_chunks().filter(pa.array(live)) for c in ("gram", "rep", "n", "vector")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(least[live]), pa.array(nearest[live])], names=["gram", "rep", "n", "vector", "least", "nearest"])
+            rows = [t.column(c).combine_chunks().filter(pa.array(live)) for c in ("gram", "rep", "n", "vector")]
+            yield pa.RecordBatch.from_arrays([*rows, *(pa.array(x[live]) for x in (least, distance, nearest))], names=["gram", "rep", "n", "vector", "least", "distance", "nearest"])
 
     return run
 
@@ -287,46 +317,73 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
-#: Bits of the map that lets texts of wanted documents through; others that pass it do no harm.
-MAP_BITS = 1 << 25
+#: Up to so many wanted documents are told apart by a bit map of 16 bits each, 32 MB at most; beyond, texts and ids are joined.
+MAPPED = 1 << 24
 
 
-def _slot(ids: np.ndarray) -> np.ndarray:
+def _slot(ids: np.ndarray, bits: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (_mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x51ED27)) & np.uint64(MAP_BITS - 1)).astype(np.int64)
+        return (_mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x51ED27)) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slot(batch.column("rep").to_numpy())))], names=["slot"])
+def _slots(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slot(batch.column("doc_id").to_numpy(), bits)))], names=["slot"])
+
+    return run
 
 
-def _map_of(ids: DataFrame) -> np.ndarray:
-    """Bit map of the ids' slots, of fixed size whatever their number; its words are put together by the executors."""
-    slots = ids.select("rep").mapInArrow(_slots, "slot long")
+def _map_of(ids: DataFrame, bits: int) -> np.ndarray:
+    """Bit map of the ids' slots; its words are put together by the executors."""
+    slots = ids.mapInArrow(_slots(bits), "slot long")
     words = slots.groupBy(F.shiftright("slot", 5).alias("word")).agg(F.bit_or(F.pow(F.lit(2), F.pmod("slot", F.lit(32))).cast("long")).alias("bits")).toArrow()
-    out = np.zeros(MAP_BITS // 32, dtype=np.uint32)
+    out = np.zeros(bits // 32, dtype=np.uint32)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
     return out
 
 
-def _sets(words: int, frequent: np.ndarray, wanted):
+def _among(wanted, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(batch.column("doc_id").is_valid()))
-            slot = _slot(batch.column("doc_id").to_numpy())
-            batch = batch.filter(pa.array((wanted.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1))
+            slot = _slot(batch.column("doc_id").to_numpy(), bits)
+            yield batch.filter(pa.array((wanted.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1))
+
+    return run
+
+
+def _sets(words: int, frequent: np.ndarray, rank: np.ndarray, only):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in only(batches):
             ids, sets = batch.column("doc_id"), []
             for _, part in _buffers(_texts(batch)):
                 grams, begin = shingles(part, words)
-                sets += [_packed(_ordered(grams[begin[i] : begin[i + 1]], frequent)) for i in range(len(part))]
+                sets += [_packed(_ordered(grams[begin[i] : begin[i + 1]], frequent, rank)) for i in range(len(part))]
             yield pa.RecordBatch.from_arrays([ids, pa.array(sets, type=pa.binary())], names=["rep", "grams"])
 
     return run
 
 
+def _sets_of(docs: DataFrame, pairs: DataFrame, words: int, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """The sets of the documents that the pairs name (and of few others), read anew from their texts, so that no others are moved."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    many = ids.count()
+    if many > MAPPED:
+        return cut(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(words, frequent, rank, iter), "rep long, grams binary"))
+    bits = 1 << max(10, (16 * many - 1).bit_length())
+    wanted = docs.sparkSession.sparkContext.broadcast(_map_of(ids, bits))
+    out = cut(docs.mapInArrow(_sets(words, frequent, rank, _among(wanted, bits)), "rep long, grams binary"))
+    wanted.destroy()
+    return out
+
+
 class Descent:
-    """A probe's way through the tree of its candidates, which come in lexicographic order."""
+    """A probe's way through the tree of its candidates, which come in lexicographic order, so that a subtree's are neighbours.
+
+    The path from the root to where the last candidate was left is kept with the
+    overlap down to each depth. A candidate is taken up where it leaves that path;
+    below a node that was given up, nothing of it is looked at."""
 
     STRIDE = 64
 
@@ -335,40 +392,35 @@ class Descent:
         self.path = np.zeros(0, dtype=np.uint64)
         #: Overlap of the probe with the path down to each depth.
         self.overlap = np.zeros(1, dtype=np.int64)
-
-    def matches(self, candidate: np.ndarray) -> bool:
-        n = len(candidate)
-        need = -(-self.percent * (self.size + n) // (100 + self.percent))
+        #: The node given up last, as the bytes from the root down to it, and the overlap there.
+        self.given_up, self.shared = b"", 0
+
+    def reach(self, depth: int, have: int, n: int) -> bool:
+        """Whether a candidate of size n that shares `have` down to this depth can still be as alike as asked."""
+        return have + min(n - depth, self.size - have) >= -(-self.percent * (self.size + n) // (100 + self.percent))
+
+    def matches(self, packed: bytes) -> bool:
+        n = len(packed) // 6
+        if self.given_up and packed.startswith(self.given_up) and not self.reach(len(self.given_up) // 6, self.shared, n):
+            return False
+        candidate = _unpacked(packed)
         k = min(n, len(self.path), len(self.overlap) - 1)
         apart = np.flatnonzero(self.path[:k] != candidate[:k])
         depth = int(apart[0]) if len(apart) else k
         overlap = [self.overlap[: depth + 1]]
         have = int(self.overlap[depth])
-        while depth < n and have + min(n - depth, self.size - have) >= need:
+        while depth < n and self.reach(depth, have, n):
             step = candidate[depth : depth + self.STRIDE]
             at = np.minimum(np.searchsorted(self.sorted, step), self.size - 1)
             sums = have + np.cumsum(self.sorted[at] == step)
             overlap.append(sums)
             have, depth = int(sums[-1]), depth + len(step)
         self.path, self.overlap = candidate, np.concatenate(overlap)
+        if depth < n:
+            self.given_up, self.shared = packed[: 6 * depth], have
         return depth == n and 100 * have >= self.percent * (self.size + n - have)
 
 
-def _among(wanted):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = _slot(batch.column("rep").to_numpy())
-            yield batch.filter(pa.array((wanted.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1))
-
-    return run
-
-
-def _of_pairs(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The sets that the pairs need (and few others), so that the joins move no more."""
-    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    return cut(sets.mapInArrow(_among(sets.sparkSession.sparkContext.broadcast(_map_of(ids))), sets.schema))
-
-
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, descent = None, None
@@ -377,7 +429,7 @@ def _verify(percent: int):
             for a, b, probe, grams in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("probe"), batch.column("grams").to_pylist(), strict=True):
                 if descent is None or at != a:
                     at, descent = a, Descent(_unpacked(probe.as_py()), percent)
-                if descent.matches(_unpacked(grams)):
+                if descent.matches(grams):
                     out[0].append(a)
                     out[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in out], names=["a", "b"])
@@ -394,7 +446,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _pairs(rows: DataFrame, *partners: str) -> DataFrame:
     """A row's best partners over all n-grams: at most one pair for each kind and row."""
-    best = rows.groupBy("rep").agg(F.min("least").alias("least"), F.min(F.struct("nearest")).alias("nearest")).select("rep", "least", F.col("nearest.nearest").alias("nearest"))
+    best = rows.groupBy("rep").agg(F.min("least").alias("least"), F.min(F.struct("distance", "nearest"))["nearest"].alias("nearest"))
     both = best.select("rep", F.explode(F.array(*partners)).alias("with")).where("rep != with")
     return both.select(F.least("rep", "with").alias("a"), F.greatest("rep", "with").alias("b")).distinct()
 
@@ -403,7 +455,7 @@ def _not_joined(rows: DataFrame, joined: DataFrame) -> DataFrame:
     """Rows of the groups that hold more than one component, each with its own."""
     labelled = rows.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     apart = labelled.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("gram")
-    return cut(labelled.join(apart, "gram", "left_semi").select("gram", "rep", "n", "vector", "component"))
+    return labelled.join(apart, "gram", "left_semi").select("gram", "rep", "n", "vector", "component")
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -424,36 +476,39 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     small_batches(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     docs = docs.select("doc_id", "text")
-    counted = docs.select("text").mapInArrow(_count_frequent(words, 4), "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times"))
-    top = counted.orderBy(F.desc("times"), "gram").limit(FREQUENT).toArrow()
-    frequent = np.sort(top.column("gram").to_numpy().view(np.uint64)) if top.num_rows else np.zeros(0, dtype=np.uint64)
-    schema = "doc_id long, n long, a long, b long, prefix array<long>, vector binary"
-    info = cut(docs.mapInArrow(_describe(words, percent, frequent, _arrow_schema(spark, schema)), schema))
-    known = info.where("n > 0 AND doc_id IS NOT NULL")
-    reps = known.groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
-    chosen = known.join(reps.withColumnsRenamed({"n": "rn", "a": "ra", "b": "rb"}), (F.col("doc_id") == F.col("rep")) & (F.col("n") == F.col("rn")) & (F.col("a") == F.col("ra")) & (F.col("b") == F.col("rb"))).select("rep", "n", "a", "b", "prefix", "vector")
-    under = chosen.select("rep", "n", F.explode("prefix").alias("gram"))
-    shared = under.withColumn("many", F.count("*").over(Window.partitionBy("gram"))).where("many > 1").select("gram", "rep", "n")
-    vectors = chosen.select(F.col("rep").alias("vrep"), F.col("n").alias("vn"), "vector")
-    active = cut(shared.join(vectors, (F.col("rep") == F.col("vrep")) & (F.col("n") == F.col("vn"))).select("gram", "rep", "n", "vector"))
-    in_groups = lambda df: df.repartition(parts, "gram").sortWithinPartitions("gram", "n", "rep")
-    partnered = "gram long, rep long, n long, vector binary, least long, nearest long"
-    live = cut(in_groups(active).mapInArrow(_partners(percent, False), partnered))
-    wanted = spark.sparkContext.broadcast(_map_of(live.select("rep").distinct()))
-    sets = cut(docs.mapInArrow(_sets(words, frequent, wanted), "rep long, grams binary"))
-    rows = live.select("gram", "rep", "n", "vector")
-    joined = components(_links(cut(_pairs(live, "nearest")), sets, percent))
-    rows = _not_joined(rows, joined)
-    again = in_groups(rows).mapInArrow(_partners(percent, True), partnered)
-    pairs = cut(_pairs(again, "least", "nearest"))
-    more = _links(pairs, _of_pairs(sets, pairs), percent)
-    joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    rows = _not_joined(live.select("gram", "rep", "n", "vector"), joined)
-    pairs = cut(in_groups(rows).mapInArrow(_remaining(percent), "a long, b long").distinct())
-    second = _links(pairs, _of_pairs(sets, pairs), percent)
-    same_set = known.join(reps, ["n", "a", "b"]).where("doc_id != rep").select(F.col("doc_id").alias("b"), F.col("rep").alias("a"))
-    final = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second).union(same_set.select("a", "b")))
-    return info.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    with scope() as outlive:
+        counted = docs.select("text").mapInArrow(_count_frequent(words, 3), "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times"))
+        top = counted.orderBy(F.desc("times"), "gram").limit(FREQUENT).toArrow()
+        by_hash = np.argsort(top.column("gram").to_numpy().view(np.uint64)) if top.num_rows else np.zeros(0, dtype=np.int64)
+        frequent = top.column("gram").to_numpy().view(np.uint64)[by_hash] if top.num_rows else np.zeros(0, dtype=np.uint64)
+        rank = (top.num_rows - by_hash).astype(np.int32)  # rows came by falling frequency
+        schema = "doc_id long, n long, a long, b long, prefix array<long>, vector binary"
+        info = cut(docs.mapInArrow(_describe(words, percent, frequent, rank, _arrow_schema(spark, schema)), schema))
+        sizes = outlive(cut(info.select("doc_id", "n", "a", "b")))
+        known = sizes.where("n > 0 AND doc_id IS NOT NULL")
+        reps = known.groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
+        chosen = info.join(reps.select(F.col("rep").alias("doc_id"), "n", "a", "b"), ["doc_id", "n", "a", "b"], "left_semi").withColumnRenamed("doc_id", "rep")
+        under = chosen.select("rep", "n", F.explode("prefix").alias("gram"))
+        shared = cut(under.withColumn("many", F.count("*").over(Window.partitionBy("gram"))).where("many > 1").select("gram", "rep", "n"))
+        vectors = chosen.select(F.col("rep").alias("vrep"), F.col("n").alias("vn"), "vector")
+        active = cut(shared.join(vectors, (F.col("rep") == F.col("vrep")) & (F.col("n") == F.col("vn"))).select("gram", "rep", "n", "vector"), shared, info)
+        in_groups = lambda df: df.repartition(parts, "gram").sortWithinPartitions("gram", "n", "rep")
+        partners = "gram long, rep long, n long, vector binary, least long, distance long, nearest long"
+        verified = lambda pairs: cut(_links(pairs, (sets := _sets_of(docs, pairs, words, frequent, rank)), percent), pairs, sets)
+        edges = lambda joined, *more: reduce(DataFrame.union, [joined.select(F.col("node").alias("a"), F.col("component").alias("b")), *more])
+        found = cut(in_groups(active).mapInArrow(_partners(percent, False), partners), active)
+        joined = components(links := verified(cut(_pairs(found, "nearest"))))
+        drop(links)
+        live = found.select("gram", "rep", "n", "vector")
+        rows = _not_joined(live, joined)
+        links = verified(cut(_pairs(in_groups(rows).mapInArrow(_partners(percent, True), partners), "least", "nearest")))
+        joined = components(edges(joined, links))
+        drop(links)
+        rows = _not_joined(live, joined)
+        links = verified(cut(in_groups(rows).mapInArrow(_remaining(percent), "a long, b long").distinct(), found))
+        same_set = known.join(reps, ["n", "a", "b"]).where("doc_id != rep").select(F.col("doc_id").alias("b"), F.col("rep").alias("a"))
+        final = outlive(components(edges(joined, links, same_set.select("a", "b"))))
+    return sizes.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
