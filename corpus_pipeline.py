@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from blockflow.llm import lines, near, packing, passages, quality_model
-from blockflow.llm.common import cut, table
+from blockflow.llm.common import cut, scope, table
 from blockflow.llm.queries import fold
 
 
@@ -37,8 +37,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet to the shared folder and read again by the next."""
+    """All stages over documents, each written as Parquet to the shared folder and read again by the next, which frees it when it is done."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        with scope() as outlive:
+            docs = outlive(cut(stage(spark, docs, sf_dir), docs))
     return STAGES[-1][1](spark, docs, sf_dir)
