@@ -38,7 +38,9 @@ FREQUENT = 1 << 20
 #: Bytes of texts handled at once.
 BUFFER = 1 << 20
 #: Least and most buckets, as powers of 2, of the counts that bound overlaps.
-LEAST_LEVEL, MOST_LEVEL = 4, 9
+LEAST_LEVEL, LEAST_FINE, MOST_LEVEL = 4, 6, 9
+#: Times as many buckets have the counts of what the first pass leaves, where sets are alike but not alike enough.
+FINER = 8
 #: Groups under one n-gram beyond this are compared with a few pivots in the first pass.
 WIDE = 256
 
@@ -131,12 +133,17 @@ def _count_frequent(words: int, least: int):
     return run
 
 
-def _level(n: int, percent: int) -> int:
+def _level(n: int, percent: int, finer: int = 1) -> int:
     """Buckets (a power of 2) whose counts tell unlike sets of this size apart: their difference grows with the root of size times buckets, what likeness leaves room for with the size."""
-    enough = 7 * n * ((100 - percent) / (100 + percent)) ** 2
+    enough = 7 * finer * n * ((100 - percent) / (100 + percent)) ** 2
     return min(MOST_LEVEL, max(LEAST_LEVEL, int(np.ceil(np.log2(max(1.0, enough))))))
 
 
+def _counts(s: np.ndarray, level: int) -> bytes:
+    buckets = 1 << level
+    return np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) & (buckets - 1), minlength=buckets), 255).astype(np.uint8).tobytes()
+
+
 def _describe(words: int, percent: int, frequent: np.ndarray, rank: np.ndarray, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,9 +157,8 @@ def _describe(words: int, percent: int, frequent: np.ndarray, rank: np.ndarray,
                     with np.errstate(over="ignore"):
                         a, b = int(_mix(s).sum().view(np.int64)) if n else 0, int(_mix(s ^ np.uint64(0x5555555555555555)).sum().view(np.int64)) if n else 0
                     prefix = s[: n - -(-percent * n // 100) + 1]
-                    buckets = 1 << _level(n, percent)
-                    counts = np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) & (buckets - 1), minlength=buckets), 255).astype(np.uint8)
-                    for column, value in zip(rows, (ids[at + i], n, a, b, prefix.view(np.int64), counts.tobytes()), strict=True):
+                    counts = _counts(s, _level(n, percent)), _counts(s, max(LEAST_FINE, _level(n, percent, FINER)))
+                    for column, value in zip(rows, (ids[at + i], n, a, b, prefix.view(np.int64), *counts), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
 
@@ -451,11 +457,11 @@ def _pairs(rows: DataFrame, *partners: str) -> DataFrame:
     return both.select(F.least("rep", "with").alias("a"), F.greatest("rep", "with").alias("b")).distinct()
 
 
-def _not_joined(rows: DataFrame, joined: DataFrame) -> DataFrame:
-    """Rows of the groups that hold more than one component, each with its own."""
+def _not_joined(rows: DataFrame, joined: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Rows of the groups that hold more than one component, each with its own and with its counts."""
     labelled = rows.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     apart = labelled.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("gram")
-    return labelled.join(apart, "gram", "left_semi").select("gram", "rep", "n", "vector", "component")
+    return labelled.join(apart, "gram", "left_semi").join(vectors, ["rep", "n"]).select("gram", "rep", "n", "vector", "component")
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -482,7 +488,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
         by_hash = np.argsort(top.column("gram").to_numpy().view(np.uint64)) if top.num_rows else np.zeros(0, dtype=np.int64)
         frequent = top.column("gram").to_numpy().view(np.uint64)[by_hash] if top.num_rows else np.zeros(0, dtype=np.uint64)
         rank = (top.num_rows - by_hash).astype(np.int32)  # rows came by falling frequency
-        schema = "doc_id long, n long, a long, b long, prefix array<long>, vector binary"
+        schema = "doc_id long, n long, a long, b long, prefix array<long>, vector binary, fine binary"
         info = cut(docs.mapInArrow(_describe(words, percent, frequent, rank, _arrow_schema(spark, schema)), schema))
         sizes = outlive(cut(info.select("doc_id", "n", "a", "b")))
         known = sizes.where("n > 0 AND doc_id IS NOT NULL")
@@ -491,7 +497,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
         under = chosen.select("rep", "n", F.explode("prefix").alias("gram"))
         shared = cut(under.withColumn("many", F.count("*").over(Window.partitionBy("gram"))).where("many > 1").select("gram", "rep", "n"))
         vectors = chosen.select(F.col("rep").alias("vrep"), F.col("n").alias("vn"), "vector")
-        active = cut(shared.join(vectors, (F.col("rep") == F.col("vrep")) & (F.col("n") == F.col("vn"))).select("gram", "rep", "n", "vector"), shared, info)
+        active = cut(shared.join(vectors, (F.col("rep") == F.col("vrep")) & (F.col("n") == F.col("vn"))).select("gram", "rep", "n", "vector"), shared)
         in_groups = lambda df: df.repartition(parts, "gram").sortWithinPartitions("gram", "n", "rep")
         partners = "gram long, rep long, n long, vector binary, least long, distance long, nearest long"
         verified = lambda pairs: cut(_links(pairs, (sets := _sets_of(docs, pairs, words, frequent, rank)), percent), pairs, sets)
@@ -499,13 +505,14 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
         found = cut(in_groups(active).mapInArrow(_partners(percent, False), partners), active)
         joined = components(links := verified(cut(_pairs(found, "nearest"))))
         drop(links)
-        live = found.select("gram", "rep", "n", "vector")
-        rows = _not_joined(live, joined)
+        live = found.select("gram", "rep", "n")
+        fine = cut(chosen.select("rep", "n", F.col("fine").alias("vector")).join(live.select("rep", "n").distinct(), ["rep", "n"], "left_semi"), info)
+        rows = _not_joined(live, joined, fine)
         links = verified(cut(_pairs(in_groups(rows).mapInArrow(_partners(percent, True), partners), "least", "nearest")))
         joined = components(edges(joined, links))
         drop(links)
-        rows = _not_joined(live, joined)
-        links = verified(cut(in_groups(rows).mapInArrow(_remaining(percent), "a long, b long").distinct(), found))
+        rows = _not_joined(live, joined, fine)
+        links = verified(cut(in_groups(rows).mapInArrow(_remaining(percent), "a long, b long").distinct(), found, fine))
         same_set = known.join(reps, ["n", "a", "b"]).where("doc_id != rep").select(F.col("doc_id").alias("b"), F.col("rep").alias("a"))
         final = outlive(components(edges(joined, links, same_set.select("a", "b"))))
     return sizes.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
