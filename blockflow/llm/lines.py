@@ -4,7 +4,10 @@ Lines within `edits` edits of one another share one of edits + 1 segments, as
 each edit spoils one at most. Every distinct line is indexed by its segments
 under its length, and probes the lengths up to `edits` shorter with the
 substrings that a segment can have moved to (each segment's edits to the left
-and to the right bound its shift). Pairs that meet are verified by an automaton
+and to the right bound its shift). A line under a key meets the key's earliest
+line first, one pair a key; what that proves to be a repeat asks no further, as
+one near line that stands earlier is enough, and the rest meet the other lines
+under their keys. Pairs that meet are verified by an automaton
 whose states for all diagonals of the band are the bits of one integer for each
 number of edits; a character moves them all at once."""
 
@@ -13,10 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import WORD_SEPARATORS, cut, drop, scope
 from .native import let, span
 
-#: Lines of fewer code points are left alone.
+#: Lines of fewer code points, in which two edits change too much of what they say, go only for equal ones; blank lines stay.
 LEAST_CHARS = 20
+#: Up to so many ids (of 8 bytes) are broadcast to pick the lines that have anything to meet; more are joined.
+BROADCAST_IDS = 1 << 20
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
@@ -64,11 +70,9 @@ def _key(line: Column, length: Column, i: int, start: Column, size: Column) -> C
 
 
 def index_keys(line: Column, edits: int) -> Column:
-    """A line's own keys, each with those of the segments before it (e0, e1, ...; null from its own on)."""
+    """A line's own keys."""
     n = F.length(line)
-    keys = [_key(line, n, i, *_segment(n, i, edits)) for i in range(edits + 1)]
-    none = F.lit(None).cast("long")
-    return F.array(*[F.struct(keys[i].alias("key"), *[(keys[j] if j < i else none).alias(f"e{j}") for j in range(edits)]) for i in range(edits + 1)])
+    return F.array(*[_key(line, n, i, *_segment(n, i, edits)) for i in range(edits + 1)])
 
 
 def probe_keys(line: Column, edits: int) -> Column:
@@ -85,34 +89,59 @@ def probe_keys(line: Column, edits: int) -> Column:
 
 
 def _occurrences(docs: DataFrame, with_line: bool = True) -> DataFrame:
-    """doc_id, version, place, h and line of every line long enough. All is made before the texts are taken apart, so that no text is carried or hashed along with each of its lines."""
+    """doc_id, version, place, h, g (together the line's identity, 96 bits of hash) and line of every line that is not blank. All is made before the texts are taken apart, so that no text is carried or hashed along with each of its lines."""
 
     def rows(version: Column) -> Column:
-        fields = lambda x, i: F.struct(version.alias("version"), i.alias("place"), F.when(F.length(x) >= LEAST_CHARS, F.xxhash64(x)).alias("h"), *([x.alias("line")] if with_line else []))
+        fields = lambda x, i: F.struct(version.alias("version"), i.alias("place"), F.when(F.btrim(x, F.lit(WORD_SEPARATORS)) != "", F.xxhash64(x)).alias("h"), F.hash(x).alias("g"), *([x.alias("line")] if with_line else []))
         return F.filter(F.transform(F.split(text, "\n"), fields), lambda r: r["h"].isNotNull())
 
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select("doc_id", F.explode(let(F.xxhash64(text), rows)).alias("r")).select("doc_id", "r.*")
 
 
-def near_pairs(docs: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct lines (h, m: first place and line), and the pairs of them within `edits` edits with their first places."""
-    lines = _occurrences(docs).groupBy("h").agg(F.min(F.struct("doc_id", "version", "place", "line")).alias("m"))
-    index = lines.select("h", F.explode(index_keys(F.col("m.line"), edits)).alias("k")).select("h", "k.*")
-    probes = lines.select("h", F.explode(probe_keys(F.col("m.line"), edits)).alias("key")).where("key IS NOT NULL")
-    a, b = index.alias("a"), index.alias("b")
-    meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.h") < F.col("b.h"))
-    for j in range(edits):  # at the first segment they share, and there alone
-        meet = meet & F.coalesce(F.col(f"a.e{j}") != F.col(f"b.e{j}"), F.lit(True))
-    same_length = a.join(b, meet).select(F.col("a.h").alias("x"), F.col("b.h").alias("y"))
-    p = probes.alias("p")
-    others = a.join(p, (F.col("a.key") == F.col("p.key")) & (F.col("a.h") != F.col("p.h"))).select(F.least("a.h", "p.h").alias("x"), F.greatest("a.h", "p.h").alias("y"))
-    pairs = same_length.union(others).distinct()
-    texts = pairs.join(lines.select(F.col("h").alias("x"), F.col("m").alias("mx")), "x").join(lines.select(F.col("h").alias("y"), F.col("m").alias("my")), "y")
-    likely = F.levenshtein(F.col("mx.line"), F.col("my.line"), edits) >= 0  # cheap, compiled: what fails here never gets to the automaton
-    near = texts.where(likely & within_edits(F.col("mx.line"), F.col("my.line"), edits))
-    place = lambda m: F.struct(F.col(f"{m}.doc_id").alias("doc_id"), F.col(f"{m}.version").alias("version"), F.col(f"{m}.place").alias("place"))
-    return lines, near.select("x", "y", place("mx").alias("px"), place("my").alias("py"))
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """id, h, g, times, first (doc_id, version, place) and line of the distinct lines, as a cut: the ids last no longer than it."""
+    found = _occurrences(docs).groupBy("h", "g").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "version", "place", "line")).alias("m"))
+    first = F.struct("m.doc_id", "m.version", "m.place").alias("first")
+    return cut(found.select(F.monotonically_increasing_id().alias("id"), "h", "g", "times", first, "m.line"))
+
+
+def _meetings(lines: DataFrame, edits: int) -> DataFrame:
+    """key, id, indexed, pivot and many: the lines under keys that hold another one, with the key's earliest indexed line and their number."""
+    long = lines.where(F.length("line") >= LEAST_CHARS)
+    order = F.coalesce("first.doc_id", F.lit(-(1 << 63)))
+    index = long.select("id", order.alias("at"), F.explode(index_keys(F.col("line"), edits)).alias("key"))
+    pivots = index.groupBy("key").agg(F.count("*").alias("many"), F.min_by("id", "at").alias("pivot"))
+    own = F.transform(index_keys(F.col("line"), edits), lambda k: F.struct(k.alias("key"), F.lit(True).alias("indexed")))
+    probes = F.transform(F.filter(probe_keys(F.col("line"), edits), lambda k: k.isNotNull()), lambda k: F.struct(k.alias("key"), F.lit(False).alias("indexed")))
+    rows = long.select("id", F.explode(F.concat(own, probes)).alias("r")).select("id", "r.*")
+    return cut(rows.join(pivots, "key").where("many > 1 OR pivot != id").select("key", "id", "indexed", "pivot", "many"))
+
+
+def _later(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """id of the later line of each pair (a, b) within the edits."""
+    side = lambda k: lines.select(F.col("id").alias(k), F.col("first").alias(f"{k}_first"), F.col("line").alias(f"{k}_line"))
+    texts = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    near = texts.where(within_edits(F.col("a_line"), F.col("b_line"), edits))
+    return near.select(F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
+
+
+def near_repeats(lines: DataFrame, edits: int) -> DataFrame:
+    """id of the distinct lines within `edits` edits of one whose first place is earlier."""
+    met = _meetings(lines, edits)
+    ids = met.select("id").union(met.select(F.col("pivot").alias("id"))).distinct()
+    few = ids.count() <= BROADCAST_IDS
+    lines = cut(lines.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "first", "line"))
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    proven = cut(_later(met.where("id != pivot").select(*ordered("id", "pivot")), lines, edits))
+    place = lines.select("id", F.col("first").alias("place"))
+    others = met.where("many > 1 AND id != pivot").select("key", "id", "indexed")  # the pivot has met all under its key
+    x = others.join(proven, "id", "left_anti").join(place, "id").select("key", F.col("id").alias("x"), F.col("indexed").alias("x_indexed"), F.col("place").alias("x_place"))
+    y = others.join(place, "id").select("key", F.col("id").alias("y"), F.col("indexed").alias("y_indexed"), F.col("place").alias("y_place"))
+    pairs = cut(x.join(y, "key").where("y_place < x_place AND (x_indexed OR y_indexed)").select(*ordered("x", "y")).distinct())
+    more = cut(_later(pairs, lines, edits).union(proven).distinct(), pairs)
+    drop(met, lines, proven)
+    return more
 
 
 def repeated_lines(docs: DataFrame, edits: int = 2) -> DataFrame:
@@ -120,16 +149,18 @@ def repeated_lines(docs: DataFrame, edits: int = 2) -> DataFrame:
 
     A line goes if an equal one, or one within `edits` edits (code points),
     stands earlier in the corpus: in a document of lesser doc_id (null first)
-    or, in the same one, higher up. Lines of under LEAST_CHARS code points stay.
-    version is a hash of the text: rows of equal doc_id and text share their
-    result, rows of equal doc_id and other text are ordered by it."""
-    lines, near = near_pairs(docs, edits)
-    gone = near.select(F.when(F.col("px") < F.col("py"), F.col("y")).otherwise(F.col("x")).alias("h")).distinct().withColumn("gone", F.lit(True))
-    first = lines.select("h", F.col("m.doc_id").alias("fd"), F.col("m.version").alias("fv"), F.col("m.place").alias("fp"))
-    decided = first.join(gone, "h", "left")
+    or, in the same one, higher up. Lines of under LEAST_CHARS code points go for
+    equal ones alone, blank lines never. version is a hash of the text: rows of
+    equal doc_id and text share their result, rows of equal doc_id and other
+    text are ordered by it. An empty table gives no rows; other columns are not
+    read."""
+    with scope() as outlive:
+        lines = distinct_lines(docs)
+        near = near_repeats(lines, edits).withColumn("gone", F.lit(True))
+        decided = outlive(cut(lines.drop("line").join(near, "id", "left").where("times > 1 OR gone").select("h", "g", "first", F.coalesce("gone", F.lit(False)).alias("gone"))))
     all_lines = _occurrences(docs, with_line=False)
-    own = F.col("doc_id").eqNullSafe(F.col("fd")) & (F.col("version") == F.col("fv")) & (F.col("place") == F.col("fp"))
-    removed = all_lines.join(decided, "h").where(F.coalesce("gone", F.lit(False)) | ~own).select("doc_id", "version", "place")
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("version") == F.col("first.version")) & (F.col("place") == F.col("first.place"))
+    removed = all_lines.join(decided, ["h", "g"]).where(F.col("gone") | ~own).select("doc_id", "version", "place")
     return removed.distinct().groupBy("doc_id", "version").agg(F.sort_array(F.collect_list("place")).alias("removed"))
 
 
@@ -150,7 +181,10 @@ def removed_lines(docs: DataFrame, edits: int = 2) -> DataFrame:
 
 
 def without_repeated_lines(docs: DataFrame, edits: int = 2) -> DataFrame:
-    """docs, each text without its repeated lines; documents that lose every line go. All columns stay, n_chars follows the text if it is there."""
+    """docs, each text without its repeated lines (the rule of repeated_lines); documents that lose every line go.
+
+    All columns stay, n_chars follows the text if it is there. Null and empty texts
+    stay as they are, repeated rows are treated alike, an empty table gives no rows."""
     out = _with_removed(docs, edits, *docs.columns)
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_removed", i))
     out = out.withColumn("_kept", F.when(F.col("_removed").isNotNull(), kept)).where("_removed IS NULL OR size(_kept) > 0")
