@@ -1,35 +1,51 @@
-"""Removal of byte strings of a given length that occur more than once in the corpus.
+"""Removal of byte strings of a given length that occur more than once in the corpus, by prefix-free parsing.
 
 Rolling-hash triggers cut every text into overlapping phrases: a trigger is the
-position whose hash of `half` bytes is the least among the positions of some
-window of `length` bytes, so every string of that length holds the trigger it
-chooses, and equal strings choose alike wherever they stand. The phrases'
-trigger hashes form the dictionary; those met once in the corpus cannot lie in
-a repeat and fall away with their text. For the others, each occurrence sends
-the context that a string around its trigger can reach, and strings are ordered
-and compared by trigger, place of the trigger and content, which is the order
-of their suffixes as far as equality needs it. Identical texts stand for one
-another from the start."""
+position whose hash of `gram` bytes is the least among the positions of some
+window, so every string of the asked length holds the trigger it chooses, and
+equal strings choose alike wherever they stand. Triggers met once in the corpus
+cannot lie in a repeat and fall away.
+
+The parse keeps of each occurrence of the others what the strings that choose
+it cover: the end of the phrase before the trigger and the continuation after
+it, as a number of 64 bits. Equal occurrences are counted, not gathered, so that
+a passage in very many texts is one row. The dictionary holds the bytes of the
+distinct ones under a trigger that has several. As every string holds its
+trigger, the corpus' suffixes fall into one group for each trigger, and there
+two suffix arrays give their order: that of the dictionary, in which phrases are
+sorted from the trigger backwards, and that of the parse, in which continuations
+are sorted forwards. A string that begins d bytes before its trigger occurs
+twice if neighbours in the one order agree on d bytes and in the other on the
+rest, which the arrays of common prefixes tell for all d.
+
+Triggers with very many distinct surroundings are taken apart by d: strings of a
+slice of places share the bytes that all of the slice hold, what lies outside
+those is compared as a number, and only where that leaves several are the
+slice's strings counted one by one. All of that is counting, with no group held
+anywhere. Identical texts stand for one another from the start."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, cut, small_batches
+from .common import _arrow_schema, cut, drop, scope, small_batches
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Triggers in more texts than this have their contexts dealt out by slices of the trigger's place and by content.
+#: Triggers with more distinct surroundings than this are taken apart by slices of places; any number gives the same result.
 HOT_TEXTS = 20_000
 SLICES = 8
 #: Bytes handled at once; a longer text is handled alone.
 BUFFER = 1 << 20
+#: Rows of the dictionary that are put in order at once, if no trigger has more.
+ORDERED = 4096
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -62,8 +78,8 @@ _powers = _Powers()
 class Phrases:
     """Several texts in one buffer with the trigger that every string of `length` bytes chooses."""
 
-    def __init__(self, texts: list[bytes], length: int):
-        self.length, self.half = length, length // 2
+    def __init__(self, texts: list[bytes], length: int, gram: int):
+        self.length = length
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         self.start = np.concatenate([[0], np.cumsum(sizes)])
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -73,17 +89,14 @@ class Phrases:
             self.prefix = np.zeros(n + 1, dtype=np.uint64)
             np.cumsum(BYTE[data] * up[:n], out=self.prefix[1:])
             windows = max(0, n - length + 1)
-            grams = max(0, n - self.half + 1)
-            self.gram = _mix((self.prefix[self.half : self.half + grams] - self.prefix[:grams]) * down[:grams])
-        self.data = data
+            grams = max(0, n - gram + 1)
+            self.gram = _mix((self.prefix[gram : gram + grams] - self.prefix[:grams]) * down[:grams])
         #: Strings that lie within one text.
-        self.string = np.zeros(0, dtype=np.int64)
-        self.chosen = np.zeros(0, dtype=np.int64)
+        self.string = self.chosen = self.text = np.zeros(0, dtype=np.int64)
         if not windows:
-            self.text = np.zeros(0, dtype=np.int64)
             return
         low = (self.gram & np.uint64(0xFFFFFFFF00000000)) | np.arange(grams, dtype=np.uint64)
-        wide, span = length - self.half + 1, 1
+        wide, span = length - gram + 1, 1
         while 2 * span <= wide:
             low = np.minimum(low[:-span], low[span:])
             span *= 2
@@ -96,6 +109,12 @@ class Phrases:
         self.chosen = (low[:windows][inside] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         self.text = text[inside]
 
+    def hashed(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes from begin to end, wherever they stand."""
+        _, down = _powers.get(len(self.prefix))
+        with np.errstate(over="ignore"):
+            return _mix((self.prefix[end] - self.prefix[begin]) * down[begin])
+
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """text, trigger, first string and last string of the runs of strings that choose the same trigger."""
         if not len(self.string):
@@ -146,16 +165,14 @@ def _spans_of(owner: np.ndarray, first: np.ndarray, last: np.ndarray, length: in
     return owner[heads], a[heads], reach[tails]
 
 
-def _triggers(length: int):
-    fields = None
-
+def _triggers(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, texts = batch.column("h").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
             unique = dict(zip(names, texts, strict=True))
             names = np.array(list(unique), dtype=np.int64)
             for at, part in _buffers(list(unique.values())):
-                p = Phrases(part, length)
+                p = Phrases(part, length, gram)
                 text, trigger, _, _ = p.runs()
                 pairs = np.stack([p.gram[trigger].view(np.int64), names[at + text]]) if len(text) else np.zeros((2, 0), np.int64)
                 order = np.lexsort(pairs)
@@ -167,132 +184,156 @@ def _triggers(length: int):
     return run
 
 
-def _contexts(length: int, schema: pa.Schema):
-    """Of texts with repeated triggers: the context of each such trigger, and what is seen to repeat already here."""
+def _parse(length: int, gram: int):
+    """Occurrences of repeated triggers: the strings from lo to hi bytes before the trigger at place choose it; context stands for all that they cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        half = length // 2
-        reach = length - half
         for batch in batches:
-            names = np.array(batch.column("h").to_pylist(), dtype=np.int64)
+            names = batch.column("h").to_numpy()
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            wanted = batch.column("triggers").to_pylist()
+            lists = batch.column("triggers")
+            wanted, edges = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
             for at, part in _buffers(texts):
-                p = Phrases(part, length)
+                p = Phrases(part, length, gram)
                 text, trigger, first, last = p.runs()
-                if not len(text):
-                    continue
-                key = p.gram[trigger].view(np.int64)
+                key = p.gram[trigger].view(np.int64) if len(text) else text
                 keep = np.zeros(len(text), dtype=bool)
-                hot = np.zeros(len(text), dtype=bool)
                 edge = np.searchsorted(text, np.arange(len(part) + 1))
                 for i in range(len(part)):
-                    lo, hi = edge[i], edge[i + 1]
-                    if lo < hi:
-                        w = wanted[at + i]
-                        keep[lo:hi] = np.isin(key[lo:hi], np.array([x["trigger"] for x in w], dtype=np.int64))
-                        if any(x["hot"] for x in w):
-                            hot[lo:hi] = np.isin(key[lo:hi], np.array([x["trigger"] for x in w if x["hot"]], dtype=np.int64))
-                text, trigger, first, last, key, hot = (x[keep] for x in (text, trigger, first, last, key, hot))
-                if not len(text):
-                    continue
-                begin = np.maximum(p.start[text], trigger - reach)
-                end = np.minimum(p.start[text + 1], trigger + half + reach)
-                _, down = _powers.get(len(p.data) + 1)
-                with np.errstate(over="ignore"):
-                    whole = _mix((p.prefix[end] - p.prefix[begin]) * down[begin]) ^ _mix(((trigger - begin) << 20 | (end - trigger)).astype(np.uint64) * BASE)
-                _, one, back, times = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
-                same = times[back] > 1
-                owner, a, b = _spans_of(text[same], first[same], last[same], length)
-                rows: list[list] = [[None] * len(a), names[at + owner].tolist(), (a - p.start[owner]).tolist(), (b - p.start[owner]).tolist(), [None] * len(a), [None] * len(a), [None] * len(a)]
-                buffer = p.data.tobytes()
-                for r in np.sort(one).tolist():
-                    t, k0 = int(text[r]), int(trigger[r])
-                    left, right = buffer[int(begin[r]) : k0], buffer[k0 + half : int(end[r])]
-                    lo, hi = k0 - int(last[r]), k0 - int(first[r])
-                    place = k0 - int(p.start[t])
-                    for k, x, y in _slices(int(key[r]), left, right, lo, hi, reach) if hot[r] else ((int(key[r]), lo, hi),):
-                        for column, value in zip(rows, (k, int(names[at + t]), x, y, place, left, right), strict=True):
+                    keep[edge[i] : edge[i + 1]] = np.isin(key[edge[i] : edge[i + 1]], wanted[edges[at + i] : edges[at + i + 1]])
+                text, trigger, first, last, key = (x[keep] for x in (text, trigger, first, last, key))
+                lo, hi = trigger - last, trigger - first
+                context = p.hashed(first, last + length) ^ _mix((lo << 32 | hi).astype(np.uint64))
+                columns = (key, context.view(np.int64), names[at + text], trigger - p.start[text], lo, hi)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=["trigger", "context", "h", "place", "lo", "hi"])
+
+    return run
+
+
+def _each(fn, schema: pa.Schema):
+    """Rows that fn gives for each text and each of its wanted occurrences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in schema]
+            for h, text, wanted in zip(batch.column("h").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+                for w in wanted:
+                    for row in fn(h, text, **w):
+                        for column, value in zip(out, row, strict=True):
                             column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     return run
 
 
-def _slices(key: int, left: bytes, right: bytes, lo: int, hi: int, reach: int) -> Iterator[tuple[int, int, int]]:
-    """Deals a hot trigger's strings out: those of a slice of places share the bytes next to the trigger that all of the slice hold."""
+def _number(*parts: bytes | int) -> int:
+    whole = b"".join(p if isinstance(p, bytes) else p.to_bytes(8, "little", signed=True) for p in parts)
+    return int.from_bytes(hashlib.blake2b(whole, digest_size=8).digest(), "little", signed=True)
+
+
+def _surroundings(length: int, gram: int):
+    """The dictionary's bytes: before the trigger, from it backwards, and after it."""
+
+    def rows(h: int, text: bytes, trigger: int, place: int, lo: int, hi: int):
+        yield trigger, h, place, lo, hi, text[place - hi : place][::-1], text[place + gram : place - lo + length]
+
+    return rows
+
+
+def _slices(length: int, gram: int):
+    """A hot trigger's strings by slices of places: key for the bytes that all strings of the slice hold, outer for all that this one's cover."""
+    reach = length - gram
     wide = -(-(reach + 1) // SLICES)
-    for low in range(0, reach + 1, wide):
-        high = min(reach, low + wide - 1)
-        x, y = max(lo, low), min(hi, high)
-        if x <= y:
-            core = hashlib.blake2b(key.to_bytes(8, "little", signed=True) + low.to_bytes(4, "little") + left[len(left) - low :] + b"|" + right[: reach - high], digest_size=8)
-            yield int.from_bytes(core.digest(), "little", signed=True), x, y
 
+    def rows(h: int, text: bytes, trigger: int, place: int, lo: int, hi: int):
+        for low in range(0, reach + 1, wide):
+            high = min(reach, low + wide - 1)
+            x, y = max(lo, low), min(hi, high)
+            if x <= y:
+                yield _number(trigger, low, text[place - low : place - high + length]), _number(x, y, text[place - y : place - x + length]), h, place, x, y
 
-def _repeats(length: int, schema: pa.Schema):
-    """Of contexts in order of their triggers: the strings that occur twice or more, as spans of their texts."""
-    reach = length - length // 2
+    return rows
 
-    def resolve(key: np.ndarray, names: np.ndarray, lo: np.ndarray, hi: np.ndarray, place: np.ndarray, left: list[bytes], right: list[bytes]) -> pa.RecordBatch:
+
+def _strings(length: int):
+    def rows(h: int, text: bytes, place: int, lo: int, hi: int):
+        for at in range(place - hi, place - lo + 1):
+            s = text[at : at + length]
+            yield _number(s), _number(b"second", s), h, at
+
+    return rows
+
+
+def _common(rows: list[bytes], wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows as lines of a grid, padded by zeros, and as sortable strings."""
+    grid = np.zeros((len(rows), max(1, wide)), dtype=np.uint8)
+    sizes = np.array([len(r) for r in rows], dtype=np.int64)
+    flat = np.frombuffer(b"".join(rows), dtype=np.uint8)
+    line = np.repeat(np.arange(len(rows)), sizes)
+    grid[line, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    return grid, grid.view(f"S{grid.shape[1]}").ravel()
+
+
+def _ranked(key: np.ndarray, rows: list[bytes], wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of the rows within their triggers, and the bytes each has in common with the one before (-1: another trigger)."""
+    grid, strings = _common(rows, wide)
+    order = np.lexsort((strings, key))
+    common = np.full(len(rows), -1, dtype=np.int64)
+    if len(rows) > 1:
+        same = key[order[1:]] == key[order[:-1]]
+        unlike = grid[order[1:]] != grid[order[:-1]]
+        common[1:] = np.where(same, np.where(unlike.any(axis=1), unlike.argmax(axis=1), grid.shape[1]), -1)
+    return order, common
+
+
+def _repeats(length: int, gram: int, schema: pa.Schema):
+    """Of the dictionary in order of its triggers: the strings that occur twice or more, as spans of their texts."""
+    reach = length - gram
+
+    def resolve(part: pa.RecordBatch) -> pa.RecordBatch:
+        key, names, place, lo, hi = (part.column(c).to_numpy() for c in ("trigger", "h", "place", "lo", "hi"))
         n = len(key)
-        up, _ = _powers.get(reach + 1)
-        sums = []
-        for parts, flip in ((left, True), (right, False)):
-            grid = np.zeros((n, reach), dtype=np.uint64)
-            sizes = np.array([len(x) for x in parts], dtype=np.int64)
-            flat = BYTE[np.frombuffer(b"".join(x[::-1] if flip else x for x in parts), dtype=np.uint8)]
-            row = np.repeat(np.arange(n), sizes)
-            grid[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
-            with np.errstate(over="ignore"):
-                total = np.zeros((n, reach + 1), dtype=np.uint64)
-                np.cumsum(grid * up[:reach], axis=1, out=total[:, 1:])
-            sums.append(total)
-        base = _mix(key.view(np.uint64))
+        by_end, end_common = _ranked(key, part.column("before").to_pylist(), reach)
+        by_rest, rest_common = _ranked(key, part.column("after").to_pylist(), reach)
+        ends, rests = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        for d in range(reach + 1):  # equal strings have their trigger at the same place
+        for d in range(int(lo.min()), int(hi.max()) + 1):
+            ends[by_end] = np.cumsum(end_common < d)  # rows that agree on the d bytes before the trigger
+            rests[by_rest] = np.cumsum(rest_common < reach - d)  # and on what the string has after it
             rows = np.flatnonzero((lo <= d) & (hi >= d))
-            if len(rows) < 2:
-                continue
-            with np.errstate(over="ignore"):
-                content = _mix(_mix(sums[0][rows, d] ^ base[rows]) + sums[1][rows, reach - d])
-            order = np.argsort(content, kind="stable")
-            c = content[order]
-            equal = c[1:] == c[:-1]
+            both = ends[rows] * (n + 1) + rests[rows]
+            order = np.argsort(both, kind="stable")
+            equal = np.diff(both[order]) == 0
             twice = np.zeros(len(rows), dtype=bool)
             twice[order[1:][equal]] = True
             twice[order[:-1][equal]] = True
-            rows = rows[twice]
-            found.append((rows, place[rows] - d))
-        rows = np.concatenate([x for x, _ in found]) if found else np.zeros(0, dtype=np.int64)
-        at = np.concatenate([x for _, x in found]) if found else rows
+            found.append((rows[twice], place[rows[twice]] - d))
+        rows, at = (np.concatenate([x[k] for x in found]) for k in (0, 1))
         text, back = np.unique(names[rows], return_inverse=True)
         owner, a, b = _spans_of(back, at, at, length)
-        return pa.RecordBatch.from_arrays([pa.array(text[owner], type=pa.int64()), pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in (text[owner], a, b)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def flush(part: pa.RecordBatch) -> pa.RecordBatch:
-            key, names, lo, hi, place = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("trigger", "h", "lo", "hi", "place"))
-            return resolve(key, names, lo, hi, place, part.column("before").to_pylist(), part.column("after").to_pylist())
-
+        size = 0
         for batch in batches:
-            key = batch.column("trigger").to_numpy()
-            border = np.flatnonzero(np.diff(key)) + 1
-            if not len(border) and (not held or held[-1].column("trigger")[0].as_py() == key[0]):
-                held.append(batch)
-                continue
-            same = held and held[-1].column("trigger")[-1].as_py() == key[0]
-            head = int(border[0]) if same and len(border) else 0
-            if held:
-                yield flush(_joined([*held, batch.slice(0, head)]))
-            tail = int(border[-1]) if len(border) else 0
-            if tail > head:
-                yield flush(batch.slice(head, tail - head))
-            held = [batch.slice(max(tail, head))]
+            while batch.num_rows:
+                key = batch.column("trigger").to_numpy()
+                ends = np.concatenate([np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+                if size >= ORDERED:  # the last trigger's rows may go on
+                    more = int(ends[0]) if held[-1].column("trigger")[-1].as_py() == key[0] else 0
+                    if more == len(key):
+                        held.append(batch)
+                        break
+                    yield resolve(_joined([*held, batch.slice(0, more)]))
+                    held, size, batch = [], 0, batch.slice(more)
+                    continue
+                take = int(ends[min(np.searchsorted(ends, ORDERED - size), len(ends) - 1)])
+                held.append(batch.slice(0, take))
+                size += take
+                batch = batch.slice(take)
         if held:
-            yield flush(_joined(held))
+            yield resolve(_joined(held))
 
     return run
 
@@ -301,18 +342,19 @@ def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
-def _kept(length: int, schema: pa.Schema, with_text: bool):
+def _kept(schema: pa.Schema, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in schema]
-            for h, text, spans in zip(batch.column("h").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                merged = _merge([(s["lo"], s["hi"]) for s in spans])
+            for h, text, spans, wider in zip(batch.column("h").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), batch.column("covered").to_pylist(), strict=True):
+                merged = _merge([(s["lo"], s["hi"]) for s in spans or ()])
                 kept, at = [], 0
                 for a, b in merged:
                     kept.append(text[at:a])
                     at = b
                 rest = b"".join([*kept, text[at:]])
-                row = (h, sum(b - a for a, b in merged), len(merged), hashlib.sha256(rest).hexdigest(), *((rest.decode("utf-8", "replace"),) if with_text else ()))
+                covered = sum(b - a for a, b in _merge([(s["lo"], s["hi"]) for s in wider or ()]))
+                row = (h, False, sum(b - a for a, b in merged), len(merged), hashlib.sha256(rest).hexdigest(), covered, *((rest.decode("utf-8", "replace"),) if with_text else ()))
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
@@ -325,54 +367,81 @@ def _key() -> Column:
     return F.xxhash64(text, F.octet_length(text))
 
 
-def _outcome(docs: DataFrame, length: int, with_text: bool) -> DataFrame:
-    """h, n_removed (-1: everything), n_spans, kept_sha256 and perhaps kept_text of the texts that may lose something."""
-    if length < 8:
+def _spans(shared: DataFrame, length: int, gram: int) -> DataFrame:
+    """h and spans (lo, hi; some overlap) of the bytes that strings of `length` bytes occurring twice or more cover, of texts with their repeated triggers."""
+    spark = shared.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    mapped = lambda rows, fn, schema: rows.mapInArrow(_each(fn, _arrow_schema(spark, schema)), schema)
+    texts = shared.select("h", "text")
+    parse = cut(shared.select("h", "text", "triggers").mapInArrow(_parse(length, gram), "trigger long, context long, h long, place long, lo long, hi long"))
+    contexts = cut(parse.groupBy("trigger", "context").agg(F.count("*").alias("times"), F.min_by("place", "h").alias("place"), F.min("h").alias("h"), F.min("lo").alias("lo"), F.min("hi").alias("hi")))
+    span = lambda lo, hi: (F.col("h"), (F.col("place") - F.col(hi)).alias("lo"), (F.col("place") - F.col(lo) + length).alias("hi"))
+    whole = parse.join(contexts.where("times > 1").select("trigger", "context"), ["trigger", "context"]).select(*span("lo", "hi"))
+    mixed = contexts.groupBy("trigger").agg(F.count("*").alias("many")).where("many > 1")
+    several = cut(contexts.join(mixed, "trigger").select("trigger", "h", "place", "lo", "hi", (F.col("many") > HOT_TEXTS).alias("hot")))
+    listed = lambda rows, *fields: texts.join(rows.groupBy("h").agg(F.collect_list(F.struct(*fields)).alias("wanted")), "h").select("h", "text", "wanted")
+    dictionary = mapped(listed(several.where("NOT hot"), "trigger", "place", "lo", "hi"), _surroundings(length, gram), "trigger long, h long, place long, lo long, hi long, before binary, after binary")
+    result = "h long, lo long, hi long"
+    few = dictionary.repartition(parts, "trigger").sortWithinPartitions("trigger").mapInArrow(_repeats(length, gram, _arrow_schema(spark, result)), result)
+    slices = cut(mapped(listed(several.where("hot"), "trigger", "place", "lo", "hi"), _slices(length, gram), "key long, outer long, h long, place long, lo long, hi long"))
+    kinds = slices.groupBy("key", "outer").agg(F.count("*").alias("times"), F.min_by("place", "h").alias("place"), F.min("h").alias("h"), F.min("lo").alias("lo"), F.min("hi").alias("hi"))
+    sliced = slices.join(kinds.where("times > 1").select("key", "outer"), ["key", "outer"]).select(*span("lo", "hi"))
+    unlike = kinds.join(kinds.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"), "key").select("h", "place", "lo", "hi")
+    strings = cut(mapped(listed(unlike, "place", "lo", "hi"), _strings(length), "k long, l long, h long, at long"))
+    twice = strings.groupBy("k", "l").agg(F.count("*").alias("times")).where("times > 1").select("k", "l")
+    single = strings.join(twice, ["k", "l"]).select("h", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
+    found = reduce(DataFrame.union, [whole, few, sliced, single])
+    return cut(found.groupBy("h").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), parse, contexts, several, slices, strings)
+
+
+def _outcome(docs: DataFrame, length: int, covered: int, with_text: bool) -> DataFrame:
+    """h, copies (whether identical texts stand elsewhere), n_removed, n_spans, kept_sha256, n_covered and perhaps kept_text of the texts that may hold repeats; of copies the first two alone."""
+    if not 8 <= covered <= length:
         raise ValueError("length must be 8 or more")
     spark = docs.sparkSession
     small_batches(spark)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text"), _key().alias("h"))
-    long = keyed.where(F.octet_length("text") >= length)
-    triggers = cut(long.select("h", "text").mapInArrow(_triggers(length), "trigger long, h long, again boolean"))
-    repeated = triggers.groupBy("trigger").agg(F.count("*").alias("texts"), F.min("h").alias("a"), F.max("h").alias("b"), F.max("again").alias("again")).where((F.col("a") != F.col("b")) | F.col("again")).select("trigger", (F.col("texts") > HOT_TEXTS).alias("hot"))
-    per_text = triggers.select("trigger", "h").join(repeated, "trigger").groupBy("h").agg(F.collect_set(F.struct("trigger", "hot")).alias("triggers"))
-    copies = long.groupBy("h").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
-    flagged = per_text.join(copies, "h")
-    shared = cut(long.join(flagged.withColumnRenamed("h", "fh"), (F.col("h") == F.col("fh")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("h", "text", "triggers", "copies"))
-    schema = "trigger long, h long, lo long, hi long, place long, before binary, after binary"
-    contexts = cut(shared.select("h", "text", "triggers").mapInArrow(_contexts(length, _arrow_schema(spark, schema)), schema))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    spans = "h long, lo long, hi long"
-    ordered = contexts.where("trigger IS NOT NULL").repartition(parts, "trigger").sortWithinPartitions("trigger")
-    found = ordered.mapInArrow(_repeats(length, _arrow_schema(spark, spans)), spans)
-    here = contexts.where("trigger IS NULL").select("h", "lo", "hi")
-    per_text = found.union(here).groupBy("h").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    result = "h long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    single = shared.where("copies = 1").join(per_text, "h").select("h", "text", "spans").mapInArrow(_kept(length, _arrow_schema(spark, result), with_text), result)
-    gone = copies.where("copies > 1").select("h", F.lit(-1).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"), *([F.lit("").alias("kept_text")] if with_text else []))
-    return single.unionByName(gone)
-
-
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs.
+    gram = covered * 2 // 5
+    with scope() as outlive:
+        keyed = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), _key().alias("h"))
+        long = keyed.where(F.octet_length("text") >= covered)
+        triggers = cut(long.select("h", "text").mapInArrow(_triggers(covered, gram), "trigger long, h long, again boolean"))
+        repeated = triggers.groupBy("trigger").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.max("again").alias("again")).where((F.col("a") != F.col("b")) | F.col("again")).select("trigger")
+        per_text = triggers.select("trigger", "h").join(repeated, "trigger").groupBy("h").agg(F.collect_set("trigger").alias("triggers"))
+        copies = cut(long.groupBy("h").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep")))
+        flagged = per_text.join(copies, "h").withColumnRenamed("h", "fh")
+        shared = cut(long.join(flagged, (F.col("h") == F.col("fh")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("h", "text", "triggers", "copies"), triggers)
+        spans = _spans(shared, length, gram)
+        wider = _spans(shared, covered, gram) if covered < length else spans
+        result = "h long, copies boolean, n_removed long, n_spans long, kept_sha256 string, n_covered long" + (", kept_text string" if with_text else "")
+        per_text = spans.join(wider.withColumnRenamed("spans", "covered"), "h", "full")
+        single = shared.where("copies = 1").join(per_text, "h").select("h", "text", "spans", "covered").mapInArrow(_kept(_arrow_schema(spark, result), with_text), result)
+        none = [F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in result.split(", ")[2:]]
+        return outlive(cut(single.unionByName(copies.where("copies > 1").select("h", F.lit(True).alias("copies"), *none))))
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, covered: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs; with `covered`, n_covered besides.
 
     Texts count as UTF-8 bytes; each byte covered by a string of `length` bytes
     that also starts elsewhere, in the same or another row, goes. Overlaps
     count, no string crosses texts, and strings are judged on the input. A null
     text counts as empty and texts under `length` bytes lose nothing; repeated
-    rows and ids are rows of their own, so equal long texts go whole. Other
-    columns are not read. An empty table gives no rows."""
+    rows and ids are rows of their own, so equal long texts go whole. n_covered
+    is what strings of `covered` bytes (at most `length`) that start elsewhere
+    too would cover. Other columns are not read. An empty table gives no rows."""
     text = F.coalesce(F.col("text"), F.lit(""))
     all_docs = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), _key().alias("h"), F.sha2(text.cast("binary"), 256).alias("sha"))
-    joined = all_docs.join(_outcome(docs, length, False), "h", "left")
-    removed = F.when(F.col("n_removed") == -1, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0)))
+    joined = all_docs.join(_outcome(docs, length, covered or length, False), "h", "left")
+    copy = F.coalesce("copies", F.lit(False))
+    gone = copy & (F.col("n_bytes") >= length)
+    count = lambda name: F.coalesce(name, F.lit(0)).cast("long")
     return joined.select(
         "doc_id",
         "n_bytes",
-        removed.cast("long").alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
+        F.when(gone, F.col("n_bytes")).otherwise(count("n_removed")).alias("n_removed"),
+        F.when(gone, F.lit(1)).otherwise(count("n_spans")).cast("long").alias("n_spans"),
+        F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        *([F.when(copy & (F.col("n_bytes") >= covered), F.col("n_bytes")).otherwise(count("n_covered")).alias("n_covered")] if covered else []),
     )
 
 
@@ -381,9 +450,9 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
 
     A character cut in two becomes U+FFFD. All columns stay, n_chars follows the
     text if it is there; null and short texts stay as they are."""
-    outcome = _outcome(docs, length, True).select(F.col("h").alias("_h"), F.col("n_removed").alias("_removed"), F.col("kept_text").alias("_kept"))
+    outcome = _outcome(docs, length, length, True).select(F.col("h").alias("_h"), F.col("copies").alias("_copies"), F.col("n_removed").alias("_removed"), F.col("kept_text").alias("_kept"))
     joined = docs.withColumn("_own", _key()).join(outcome, F.col("_own") == F.col("_h"), "left")
-    changed = F.coalesce(F.col("_removed"), F.lit(0)) != 0
+    changed = F.coalesce(F.col("_copies"), F.lit(False)) | (F.coalesce(F.col("_removed"), F.lit(0)) != 0)
     joined = joined.where(~changed | (F.length("_kept") > 0)).withColumn("text", F.when(changed, F.col("_kept")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.when(changed, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))

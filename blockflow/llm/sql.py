@@ -51,15 +51,20 @@ SELECT reach.doc_id, coalesce(any_value(n.n), 0)::bigint AS n_shingles, min(r) A
 """
 
 
-def repeated_passages(length: int = 400) -> str:
+def repeated_passages(length: int = 400, covered: int = 300) -> str:
+    def runs(of: int, name: str) -> str:
+        return f"""
+s{name} AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, {2 * of})) AS m FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {of} + 1)) AS i FROM t)),
+twice{name} AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY m) AS n FROM s{name}) WHERE n > 1),
+marked{name} AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {of} THEN 0 ELSE 1 END AS new FROM twice{name}),
+runs{name} AS (SELECT doc_id, min(i) AS a, max(i) + {of} AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked{name}) GROUP BY doc_id, run)"""
+
     return f"""
-WITH t AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
-s AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, {2 * length})) AS m FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {length} + 1)) AS i FROM t)),
-twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY m) AS n FROM s) WHERE n > 1),
-marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {length} THEN 0 ELSE 1 END AS new FROM twice),
-runs AS (SELECT doc_id, min(i) AS a, max(i) + {length} AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked) GROUP BY doc_id, run),
+WITH t AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),{runs(length, "")},{runs(covered, "_c")},
+cover AS (SELECT doc_id, sum(b - a) AS n_covered FROM runs_c GROUP BY 1),
 parts AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
 kept AS (SELECT p.doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS tail, sum(b - a) AS n_removed, count(*) AS n_spans FROM parts p JOIN t ON p.doc_id = t.doc_id GROUP BY 1)
 SELECT t.doc_id, (length(h) // 2)::bigint AS n_bytes, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(n_spans, 0)::bigint AS n_spans,
-  sha256(unhex(CASE WHEN k.doc_id IS NULL THEN h ELSE head || substr(h, 2 * tail + 1) END)) AS kept_sha256 FROM t LEFT JOIN kept k ON t.doc_id = k.doc_id
+  sha256(unhex(CASE WHEN k.doc_id IS NULL THEN h ELSE head || substr(h, 2 * tail + 1) END)) AS kept_sha256, coalesce(n_covered, 0)::bigint AS n_covered
+FROM t LEFT JOIN kept k ON t.doc_id = k.doc_id LEFT JOIN cover ON t.doc_id = cover.doc_id
 """
