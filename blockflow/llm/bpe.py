@@ -234,7 +234,11 @@ def encode_decode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, tokenizer_file: str) -> DataFrame:
-    """encode_decode with SHA-256 digests in place of ids and text, made where they arise so that neither moves."""
+    """encode_decode with SHA-256 digests in place of ids and text, made where they arise so that neither moves.
+
+    A null text counts as empty: 0 tokens and the digests of nothing. Repeated rows
+    and ids give a row each, special strings in a text become special ids as the
+    library has it, other columns are not read, an empty table gives no rows."""
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         encoder, decoder = encoder_of(tokenizer_file)

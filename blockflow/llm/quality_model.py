@@ -166,7 +166,7 @@ class AdditiveModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE) -> AdditiveModel:
-    """The model of labels.quality on at most `sample` labelled documents (a bound of training alone) for which `usable` holds."""
+    """The model of labels.quality on at most `sample` labelled documents (a bound of training alone) for which `usable` holds; of an id with several texts the one of least features trains."""
     truth = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(usable).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other")
     chosen = truth.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
@@ -174,7 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMP
     def run(cols: dict[str, list]) -> dict[str, list]:
         return {"doc_id": cols["doc_id"], "quality": cols["quality"], "x": features([t or b"" for t in cols["text"]]).tolist()}
 
-    got = arrow_map(rows.select("doc_id", "quality", "text"), run, "doc_id long, quality int, x array<double>", binary_text=True).toArrow().sort_by([("doc_id", "ascending")])
+    got = arrow_map(rows.select("doc_id", "quality", "text"), run, "doc_id long, quality int, x array<double>", binary_text=True).toArrow()
+    got = got.take(sorted(range(got.num_rows), key=lambda i, d=got.column("doc_id").to_pylist(), x=got.column("x").to_pylist(): (d[i], x[i])))
     x = np.array(got.column("x").to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
     y = got.column("quality").to_numpy().astype(np.float64)
     seen: dict[int, int] = {}
@@ -205,7 +206,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, threshol
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs that score_quality predicts to be good, with all their columns as they are."""
+    """The rows of docs that score_quality predicts to be good, with all their columns as they are.
+
+    Null and empty texts are scored like any others, repeated rows alike; an empty
+    table gives no rows."""
     model = train(docs, labels, ~F.coalesce(held_out, F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
