@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from datetime import date, datetime
+from decimal import Decimal
 
 _PIECE = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*.*?\*/|[A-Za-z_@][\w@]*|\s+|.", re.S)
 
@@ -23,6 +25,32 @@ def statements(sql: str) -> list[str]:
     return [s.strip() for s in [*out, "".join(now)] if s.strip()]
 
 
+def marks(sql: str) -> int:
+    """Parameter marks (?) outside of quotes and comments."""
+    return pieces(sql).count("?")
+
+
+def _literal(value: object) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "TRUE" if value else "FALSE"
+    if isinstance(value, (int, float, Decimal)):
+        return str(value)
+    if isinstance(value, (datetime, date)):
+        return f"{'TIMESTAMP' if isinstance(value, datetime) else 'DATE'} '{value}'"
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+def bound(sql: str, args: list) -> str:
+    """sql with its marks replaced by the arguments as literals, in order; what stands in quotes or comments is left alone."""
+    parts = pieces(sql)
+    if parts.count("?") != len(args):
+        raise ValueError(f"{len(args)} arguments for {parts.count('?')} marks")
+    rest = iter(args)
+    return "".join(_literal(next(rest)) if p == "?" else p for p in parts)
+
+
 def rewrite(sql: str) -> str:
     """Text aliases and double-quoted names become backquoted ones, LIKE ignores case, TOP n becomes LIMIT n."""
     out: list[str] = []

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.casts import instant, parse_time
+from .series import with_next
 from .text import Tokens
 
 
@@ -95,7 +96,15 @@ def _quantile(frame: Frame, args: list[Argument]) -> Column:
     q = _share(args[1])
     if not 0 <= q <= 1:
         raise ValueError("a quantile lies between 0 and 1")
-    return F.percentile(frame.number(args[0]), q).cast("double")
+    return F.percentile(frame.number(args[0]), q).cast("double")  # exact: keeps a group's distinct values
+
+
+def _approx_quantile(frame: Frame, args: list[Argument]) -> Column:
+    """Quantile by a sketch of bounded size: the value whose rank is off by a ten-thousandth of the rows at most, one of those present."""
+    q = _share(args[1])
+    if not 0 <= q <= 1:
+        raise ValueError("a quantile lies between 0 and 1")
+    return F.percentile_approx(frame.number(args[0]), q, 10_000).cast("double")
 
 
 def _cdf(frame: Frame, args: list[Argument]) -> Column:
@@ -107,15 +116,18 @@ def _zoh(frame: Frame, args: list[Argument]) -> Column:
     """Time-weighted mean over [start, finish] of the step function that holds each value until the next time.
 
     Points without time or value are passed over. Null if the window is empty or
-    begins before the first point. The next time comes from a window over the
-    groups, so the aggregation after it finds its rows where they are."""
+    begins before the first point. The next time comes from windows over slices of
+    the groups' series, so that no task holds a series."""
     c, kind = frame.column(args[0])
     seconds = lambda t: F.unix_micros(t) / F.lit(1e6)
     v = frame.number(args[1])
     t = frame.add(F.when(v.isNotNull(), seconds(instant(c, kind))))
+    time = f"__helper_{frame.helpers}"
     start, finish = (seconds(parse_time(F.lit(a.value)) if a.kind == "text" else instant(*frame.column(a))) for a in args[2:])
-    keys = [F.col(f"`{frame.field(k).name}`") for k in frame.keys] or [F.lit(1)]
-    later = frame.add(F.lead(t).over(Window.partitionBy(*keys).orderBy(t.asc_nulls_first())))
+    frame.helpers += 1
+    name = f"__helper_{frame.helpers}"
+    frame.df = with_next(frame.df, [frame.field(k).name for k in frame.keys], time, name)
+    later = F.col(name)
     hold = F.greatest(F.lit(0.0), F.least(F.coalesce(later, finish), finish) - F.greatest(t, start))
     part = frame.add(F.when(t.isNotNull(), v * hold))
     begin, end = frame.add(start), frame.add(finish)
@@ -131,6 +143,7 @@ REDUCERS: dict[str, tuple[int, Callable[[Frame, list[Argument]], Column]]] = {
     "max": (1, _ordered(F.max)),
     "count": (1, _count),
     "quantile": (2, _quantile),
+    "approx_quantile": (2, _approx_quantile),
     "cdf": (2, _cdf),
     "zoh": (4, _zoh),
 }

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import logging
+import threading
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -20,10 +22,16 @@ from .store import GlobalStore
 
 log = logging.getLogger("blockflow")
 MAX_INCLUDES = 8
+#: Tries of a commit.
+RETRIES = 32
 #: The drivers a CONNECTION may name.
 DRIVERS = ("sqlite3", "mssql", "postgres", "jdbc", "excel", "http", "mandrill")
 
 
+class Interrupted(RuntimeError):
+    """The job was cancelled."""
+
+
 @dataclass
 class Hooks:
     """Each may give a replacement for what it is shown, or None to keep it."""
@@ -48,6 +56,10 @@ class Job:
     http: http_json.Transport = http_json.fetch
     mailer: outputs.Mailer | None = None
     variables: dict[str, object] = field(default_factory=dict)
+    #: Seconds by which the pause before another try of a commit grows.
+    pause: float = 1.0
+    group: str = field(default_factory=lambda: f"blockflow-{uuid.uuid4().hex}")
+    cancelled: threading.Event = field(default_factory=threading.Event)
 
     def __post_init__(self):
         self.settings = {k.upper(): v for k, v in self.params.items()} | self.script.settings
@@ -270,13 +282,43 @@ class Job:
 
     # -- the run
 
+    def cancel(self) -> None:
+        """Stops the job from another thread: Spark's tasks are interrupted, nothing is committed."""
+        self.cancelled.set()
+        self.spark.sparkContext.cancelJobGroup(self.group)
+
+    def _alive(self) -> None:
+        if self.cancelled.is_set():
+            raise Interrupted("interrupted")
+
+    def readers(self, b: Block) -> int:
+        """Sinks and blocks that read a block's rows."""
+        return len(b.sinks) + sum(e.kind == "block" and str(e.name).lower() == b.name.lower() for x in self.nodes.values() for e in x.sources)
+
     def execute(self) -> None:
+        """Validation ends with the checks of names, shapes and syntax: no statement runs, nothing is opened or started."""
         self.prepare()
+        if self.mode == "validate":
+            return
+        self.spark.sparkContext.setJobGroup(self.group, self.script.description or "script", interruptOnCancel=True)
+        try:
+            self._execute()
+        except BaseException as e:
+            if self.cancelled.is_set() and not isinstance(e, Interrupted):
+                raise Interrupted("interrupted") from e
+            raise
+        finally:
+            for key in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+                self.spark.sparkContext.setLocalProperty(key, None)
+
+    def _execute(self) -> None:
+        shared: list[DataFrame] = []
         tests = {t.name.lower(): t for t in self.script.of("test")}
         try:
             for g in self.script.of("global"):
                 self.store.execute(g.body)
             for b in self.order:
+                self._alive()
                 name = b.name.lower()
                 if b.kind == "exec":
                     if self.mode == "run":
@@ -288,28 +330,50 @@ class Job:
                 hook = self.hooks.transform if b.kind == "transform" else self.hooks.source
                 if isinstance(made, DataFrame):
                     made = hook(b.name, made) or made
+                    if self.readers(b) > 1:  # sources are read once, and all readers see the same rows
+                        made = made.persist()
+                        shared.append(made)
                 self.frames[name] = made
-                if self.mode == "validate":
-                    continue
-                if self.mode == "test" and name in tests:
+                if self.mode == "test":
                     for df in made.values() if isinstance(made, dict) else [made]:
-                        assertions.check(df, b.name, tests[name].body)
+                        if name in tests:
+                            assertions.check(df, b.name, tests[name].body)
+                        else:  # rows that no test looks at are still made, so that bad ones are found
+                            df.write.format("noop").mode("overwrite").save()
                 if self.mode == "run":
                     for e in b.sinks:
                         self.write(b, e, made[e.alias or e.name or e.kind] if isinstance(made, dict) else made)
+            self._alive()
             if self.mode == "run":
                 for d in self.databases.values():
-                    d.commit()
+                    self._retried(d.commit)
                 self.store.commit()
             else:
                 self._back()
         except BaseException:
             self._back()
             raise
+        finally:
+            for df in shared:
+                df.unpersist()
+
+    def _retried(self, action: Callable[[], None]) -> None:
+        """Tries again after one more pause each time; the last failure counts."""
+        for n in range(1, RETRIES + 1):
+            try:
+                return action()
+            except Exception as e:
+                if n == RETRIES or self.cancelled.is_set():
+                    raise
+                log.warning("try %d of %d failed: %s", n, RETRIES, e)
+                self.cancelled.wait(n * self.pause)
 
     def _back(self) -> None:
         for d in self.databases.values():
-            d.rollback()
+            try:
+                d.rollback()
+            except Exception as e:  # the others still go back
+                log.error("rollback failed: %s", e)
         self.databases = {}
         self.store.rollback()
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dialect import TYPES, rewrite, statements
+from ..functions.dialect import TYPES, marks, rewrite, statements
 from ..runtime.durable import cut
 
 _NAME = r"[`\"\[]?([A-Za-z_]\w*)[`\"\]]?"
@@ -61,7 +61,7 @@ class GlobalStore:
         """Runs all statements; gives the last SELECT's rows. Parameters (?) go to the statements in order."""
         out, args = None, list(args or [])
         for s in statements(sql):
-            n = _marks(s)
+            n = marks(s)
             mine, args = (args[:n], args[n:]) if n else ([], args)
             out = self._one(s, mine)
         return out
@@ -94,12 +94,12 @@ class GlobalStore:
             new = dict(re.match(rf"\s*{_NAME}\s*=\s*(.*)$", part, re.S).groups() for part in _split(m[2]))
             new = {k.lower(): rewrite(v) for k, v in new.items()}
             where = f"coalesce({rewrite(m[3])}, false)" if m[3] else "true"
-            if args and len(new) > 1 and _marks(m[2]):
+            if args and len(new) > 1 and marks(m[2]):
                 raise ValueError("parameters in SET need a single column")
             columns = [f"CASE WHEN {where} THEN CAST({new[f.name.lower()]} AS {f.dataType.simpleString()}) ELSE `{f.name}` END AS `{f.name}`" if f.name.lower() in new else f"`{f.name}`" for f in t.schema]
-            order = args[_marks(m[2]) :] + args[: _marks(m[2])]  # the condition comes first in the rewritten text
+            order = args[marks(m[2]) :] + args[: marks(m[2])]  # the condition comes first in the rewritten text
             df = self.spark.sql(f"SELECT {', '.join(columns)} FROM {t.name}", args=order * len(new) if args else None)
-            self._check(replace(t, df=df), df)
+            self._check(t, df)
             self._put(replace(t, df=df))
         elif re.match(r"(select|with|values)\b", sql, re.I):
             return self.query(sql, args)
@@ -150,24 +150,25 @@ class GlobalStore:
         plain = rows.toDF(*[f"c{i}" for i in range(len(names))])
         new = plain.select(*[(F.col(at[f.name.lower()]) if f.name.lower() in at else F.lit(None)).cast(f.dataType).alias(f.name) for f in t.schema])
         df = t.df.unionByName(new)
-        self._check(t, df)
+        self._check(t, new, t.df)
         appends = t.appends + 1
         if appends % APPENDS == 0:
             df = cut(df)
         self._put(replace(t, df=df, appends=appends))
 
-    def _check(self, t: Table, df: DataFrame) -> None:
-        """NOT NULL and unique keys, in one pass for the nulls and one for each key."""
+    def _check(self, t: Table, new: DataFrame, old: DataFrame | None = None) -> None:
+        """NOT NULL and unique keys of new rows, among themselves and against those that are there already and hold."""
         if t.required:
-            nulls = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in dict.fromkeys(t.required)]).first().asDict()
+            nulls = new.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in dict.fromkeys(t.required)]).first().asDict()
             if bad := [c for c, n in nulls.items() if n]:
                 raise ValueError(f"NOT NULL constraint failed: {t.name}.{bad[0]}")
         for key in t.unique:
             columns = [F.col(f"`{c}`") for c in key]
-            whole = df
+            whole = new
             for c in columns:
                 whole = whole.where(c.isNotNull())
-            if whole.groupBy(*columns).count().where("count > 1").limit(1).count():
+            twice = whole.groupBy(*columns).count().where("count > 1").limit(1).count()
+            if twice or (old is not None and old.select(*columns).join(whole.select(*columns), list(key), "left_semi").limit(1).count()):
                 raise ValueError(f"UNIQUE constraint failed: {t.name}({', '.join(key)})")
 
 
@@ -187,7 +188,3 @@ def _split(text: str) -> list[str]:
         else:
             now += c
     return [*out, now.strip()] if now.strip() else out
-
-
-def _marks(sql: str) -> int:
-    return len(re.findall(r"\?", re.sub(r"'(?:[^']|'')*'", "", sql)))

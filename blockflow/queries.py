@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
+import json
+import sqlite3
 import sys
 import tempfile
 from collections.abc import Callable
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 from .lang import assertions
 from .operators import streams
 from .operators.transforms import transform
-from .plans.engine import run_script
+from .plans.engine import Hooks, run_script
 from .plans.store import GlobalStore
 from .sources import excel, http_json, literal, outputs, plugins
 from .streaming.downsample import downsample
@@ -204,8 +207,18 @@ def union_ordered(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 'a' AS branch, count(*) AS n FROM nation UNION ALL SELECT 'b', count(*) FROM nation")
 def fanout(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation")
-    return streams.fan_in([n.agg(F.lit(x).alias("branch"), F.count("*").alias("n")) for x in ("a", "b")])
+    """One block read by two others, whose sinks are one table."""
+    views(spark, d, "nation")
+    j = run_script(
+        spark,
+        """
+        GLOBAL 'Init' ( CREATE TABLE branches (branch text, n bigint); )
+        QUERY 'N' FROM GLOBAL ( SELECT n_nationkey FROM nation )
+        QUERY 'A' FROM BLOCK N ( SELECT 'a' AS branch, count(*) AS n FROM N ) INTO GLOBAL WITH (TABLE = 'branches')
+        QUERY 'B' FROM BLOCK N ( SELECT 'b' AS branch, count(*) AS n FROM N ) INTO GLOBAL WITH (TABLE = 'branches')
+        """,
+    )
+    return j.store.table("branches")
 
 
 @query("SELECT event_type AS branch, count(*) AS n FROM events WHERE event_type IN (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 2) GROUP BY 1")
@@ -260,7 +273,22 @@ def query_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT * FROM nation")
 def table_scan(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation")
+    """A database's table, filled by one block and read whole by name by another."""
+    views(spark, d, "nation")
+    with tempfile.TemporaryDirectory() as folder:
+        file = f"{folder}/scan.db"
+        with contextlib.closing(sqlite3.connect(file)) as link:
+            link.execute("CREATE TABLE nations (n_nationkey int, n_name text, n_regionkey int)")
+        j = run_script(
+            spark,
+            f"""
+            CONNECTION 'Store' (Driver = 'sqlite3', ConnectionString = '{file}')
+            QUERY 'Fill' FROM GLOBAL (SELECT * FROM nation) INTO CONNECTION Store WITH (TABLE = 'nations')
+            TRANSFORM 'Scan' FROM CONNECTION Store (APPLY n_nationkey, n_name, n_regionkey) INTO CONSOLE WITH (TABLE = 'nations') AFTER Fill
+            """,
+            out=io.StringIO(),
+        )
+        return j.frames["scan"].selectExpr("int(n_nationkey) AS n_nationkey", "n_name", "int(n_regionkey) AS n_regionkey")
 
 
 def _store(spark: SparkSession, d: str) -> GlobalStore:
@@ -306,8 +334,23 @@ def exec_stmt(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT count(*) AS n FROM customer WHERE c_mktsegment ILIKE '%build%'")
 def autosql(spark: SparkSession, d: str) -> DataFrame:
-    table(spark, d, "customer").createOrReplaceTempView("WebAPI")
-    return GlobalStore(spark).query("SELECT COUNT(*) AS n FROM WebAPI WHERE c_mktsegment LIKE '%build%'")
+    """SQL over a connection that has none: pages of JSON."""
+    names = [r[0] for r in table(spark, d, "customer").select("c_mktsegment").collect()]
+
+    def pages(url: str, _: dict[str, str]) -> str:
+        at = int(url.rpartition("skip=")[2])
+        return json.dumps({"items": [{"segment": x} for x in names[at : at + 500]]})
+
+    j = run_script(
+        spark,
+        """
+        CONNECTION 'WebAPI' (Driver = 'http', URL = 'http://host/customers', COLUMNS = 'segment', JSON_PATH = 'items', PAGE_SIZE = 500, PAGINATION_LIMIT_PARAMETER = 'take', PAGINATION_OFFSET_PARAMETER = 'skip')
+        QUERY 'Count' FROM CONNECTION WebAPI ( SELECT COUNT(*) AS n FROM WebAPI WHERE segment LIKE '%build%' ) INTO CONSOLE
+        """,
+        http=pages,
+        out=io.StringIO(),
+    )
+    return j.frames["count"]
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_totalprice = (SELECT max(o_totalprice) FROM orders)")
@@ -336,6 +379,20 @@ for line in sys.stdin:
 """
 
 
+#: Adds one to every cell of every row.
+_INCREMENT = """
+import json, sys
+for line in sys.stdin:
+    q = json.loads(line)
+    r = None
+    if q["method"] == "get_output_columns":
+        r = {"out": ["a", "b"]}
+    elif q["method"] == "receive":
+        r = {"rows": [{"source": "", "destination": "out", "data": [c + 1 for c in x["data"]]} for x in q["params"][0] or []], "logs": []}
+    print(json.dumps({"jsonrpc": "2.0", "id": q["id"], "result": r}), flush=True)
+"""
+
+
 @query("SELECT c_custkey AS k, c_nationkey + 1 AS v FROM customer WHERE c_nationkey > 0")
 def plugin_filter(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("v"))
@@ -344,11 +401,8 @@ def plugin_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT n_nationkey + 1 AS a, n_regionkey + 1 AS b FROM nation")
 def plugin_map(spark: SparkSession, d: str) -> DataFrame:
-    def plus(batches):
-        for b in batches:
-            yield b + 1
-
-    return table(spark, d, "nation").select(F.col("n_nationkey").alias("a"), F.col("n_regionkey").alias("b")).mapInPandas(plus, "a int, b int")
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("a"), F.col("n_regionkey").alias("b"))
+    return plugins.plugin_transform({"n": n}, ["out"], [sys.executable, "-c", _INCREMENT])["out"]
 
 
 @query("SELECT * FROM (VALUES ('Bob', 29.4::double), ('Fred', 27.0)) t(Name, Age)")
@@ -402,6 +456,34 @@ def script_end_to_end(spark: SparkSession, d: str) -> DataFrame:
     return rounded(j.store.table("totals"), "total")
 
 
+def _sql(name: str, text: str, *tables: str, oracle: str | None = None) -> None:
+    """A query of a script over shared tables whose text both engines take."""
+
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        views(spark, d, *tables)
+        return run_script(spark, f"QUERY 'Q' FROM GLOBAL ({text}) INTO CONSOLE WITH (OUTPUT_FORMAT = 'JSON')", hooks=Hooks(sink=lambda *_: True)).frames["q"]
+
+    f.__name__ = name
+    query(oracle or text)(f)
+
+
+_sql("sql_window", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS recent FROM orders", "orders")
+_sql("sql_order_limit", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 100", "lineitem")
+_sql("sql_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier", "customer", "supplier")
+_sql("sql_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders", "customer", "orders")
+_sql("sql_union_distinct", "SELECT c_mktsegment AS v FROM customer UNION SELECT o_orderpriority FROM orders", "customer", "orders")
+_sql("sql_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)", "orders")
+_sql(
+    "sql_as_of",
+    "SELECT event_id, max_by(o_orderkey, struct(o_orderdate, o_orderkey)) AS o_orderkey FROM events JOIN orders ON o_custkey = user_id AND o_orderdate <= ts GROUP BY event_id",
+    "events",
+    "orders",
+    oracle="SELECT event_id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM events JOIN orders ON o_custkey = user_id AND o_orderdate <= ts GROUP BY event_id",
+)
+_sql("sql_subquery", "SELECT n_name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000) AND EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey)", "nation", "customer", "supplier")
+_sql("integer_division", "SELECT o_orderkey, o_orderkey / 4 AS part FROM orders", "orders")
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, (f, _) in _made.items()}
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import uuid
 from collections.abc import Iterator
@@ -34,6 +35,15 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
+_held: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _release() -> None:
+    for path, spark in _held.items():
+        delete(spark, path)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -44,9 +54,10 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read from there; the files go when the process ends."""
     path = f"{shared_dir(df.sparkSession)}/store-{uuid.uuid4().hex}"
     with freed_shuffles(df.sparkSession):
         df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._cut_path = path
+    _held[path] = df.sparkSession
     return out

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime.durable import cut
 from ..runtime.ship import ship
 
 #: Rows of one call; the protocol takes any number.
@@ -86,6 +87,8 @@ def plugin_transform(sources: dict[str, DataFrame], sinks: list[str], command: l
         own.close()
 
     result = rows.mapInPandas(run, "destination string, cells string")
+    if len(sinks or outputs) > 1:  # one run of the children, whatever number of destinations reads from it
+        result = cut(result)
     out = {}
     for name in sinks or list(outputs):
         names = outputs.get(name) or next(iter(outputs.values()))

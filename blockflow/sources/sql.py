@@ -6,6 +6,7 @@ import sqlite3
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.dialect import bound, marks, statements
 from .literal import frame
 
 
@@ -32,10 +33,8 @@ class SQLite(Database):
         return out.withColumns({out.columns[i]: out[out.columns[i]].cast("bigint") for i in whole}) if whole else out
 
     def execute(self, sql: str, args: list) -> None:
-        from ..functions.dialect import _PIECE, statements  # noqa: F401
-
         for s in statements(sql):
-            n = s.count("?")
+            n = marks(s)
             self.link.execute(s, args[:n])
             args = args[n:]
 
@@ -73,26 +72,30 @@ class JDBC(Database):
         self.spark, self.url, self.options, self.pending = spark, url, options, []
 
     def query(self, sql: str, args: list) -> DataFrame:
-        for a in args:
-            sql = sql.replace("?", str(a) if isinstance(a, (int, float)) else "'" + str(a).replace("'", "''") + "'", 1)
+        sql = bound(sql, args)
         reader = self.spark.read.format("jdbc").option("url", self.url).options(**self.options)
-        return reader.option("dbtable" if "partitioncolumn" in {k.lower() for k in self.options} else "query", f"({sql}) q" if "partitioncolumn" in {k.lower() for k in self.options} else sql).load()
+        split = "partitioncolumn" in {k.lower() for k in self.options}
+        return (reader.option("dbtable", f"({sql}) q") if split else reader.option("query", sql)).load()
 
     def execute(self, sql: str, args: list) -> None:
-        from ..functions.dialect import statements
-
         manager = self.spark.sparkContext._jvm.java.sql.DriverManager
-        link = manager.getConnection(self.url)
+        properties = self.spark.sparkContext._jvm.java.util.Properties()
+        for k, v in self.options.items():
+            properties.setProperty(k, v)
+        link = manager.getConnection(self.url, properties)
         try:
             link.setAutoCommit(False)
             for s in statements(sql):
                 ready = link.prepareStatement(s)
-                n = s.count("?")
+                n = marks(s)
                 for i, a in enumerate(args[:n]):
                     ready.setObject(i + 1, a)
                 args = args[n:]
                 ready.execute()
             link.commit()
+        except BaseException:
+            link.rollback()
+            raise
         finally:
             link.close()
 
@@ -104,9 +107,9 @@ class JDBC(Database):
             write.save()
 
     def commit(self) -> None:
-        for save in self.pending:
-            save()
-        self.pending = []
+        while self.pending:  # what is written goes, so that a retry begins where the failure was
+            self.pending[0]()
+            self.pending.pop(0)
 
     def rollback(self) -> None:
         self.pending = []

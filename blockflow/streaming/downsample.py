@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.series import with_next
+
 
 def downsample(df: DataFrame, keys: list[str], time: str, value: str, start: str, finish: str, every: str) -> DataFrame:
     """keys, window_start and value, the mean of the step function over each window from start to finish.
@@ -15,7 +17,8 @@ def downsample(df: DataFrame, keys: list[str], time: str, value: str, start: str
     t, end = F.col(time).cast("timestamp"), F.lit(finish).cast("timestamp")
     begin = F.lit(start).cast("timestamp")
     points = df.where(F.col(time).isNotNull() & F.col(value).isNotNull()).withColumn("__t", t)
-    later = F.lead("__t").over(Window.partitionBy(*keys).orderBy("__t"))
+    points = with_next(points.withColumn("__s", F.unix_micros("__t") / F.lit(1e6)), keys, "__s", "__n")
+    later = F.timestamp_micros(F.round(F.col("__n") * 1e6).cast("long"))
     held = points.withColumn("__from", F.greatest("__t", begin)).withColumn("__to", F.least(F.coalesce(later, end), end)).where("__to > __from")
     step = F.expr(f"INTERVAL {every}")
     micros = lambda c: F.unix_micros(c)

@@ -157,6 +157,128 @@ def test_sqlite_excel_and_mail(spark, tmp_path):
         assert link.execute("SELECT count(*) FROM p").fetchone() == (2,)
 
 
+COUNTED = """
+import json, os, sys
+open(os.environ["STARTS"], "a").write("x")
+for line in sys.stdin:
+    q = json.loads(line)
+    r = None
+    if q["method"] == "get_output_columns":
+        r = {"even": ["n"], "odd": ["n"]}
+    elif q["method"] == "receive":
+        r = {"rows": [{"destination": "odd" if x["data"][0] % 2 else "even", "data": x["data"]} for x in q["params"][0] or []]}
+    print(json.dumps({"jsonrpc": "2.0", "id": q["id"], "result": r}), flush=True)
+"""
+
+
+def test_children_run_once_for_all_destinations(spark, tmp_path, monkeypatch):
+    import sys
+
+    from blockflow.sources.plugins import plugin_transform
+
+    starts = tmp_path / "starts"
+    command = ["/usr/bin/env", f"STARTS={starts}", sys.executable, "-c", COUNTED]
+    out = plugin_transform({"s": spark.range(6).toDF("n").coalesce(1)}, ["even", "odd"], command)
+    for _ in range(2):
+        assert rows(out["even"]) == [(0,), (2,), (4,)] and rows(out["odd"]) == [(1,), (3,), (5,)]
+    assert starts.read_text() == "xx"  # once for the columns, once for the rows
+
+
+def test_validate_only_compiles(spark, tmp_path):
+    asked = []
+    script = f"""
+        CONNECTION 'DB' (Driver = 'sqlite3', ConnectionString = '{tmp_path / "never.db"}')
+        CONNECTION 'Web' (Driver = 'http', URL = 'http://host', COLUMNS = 'n')
+        GLOBAL 'G' (CREATE TABLE made (n int))
+        QUERY 'A' FROM CONNECTION DB (SELECT 1 AS n) INTO CONSOLE
+        QUERY 'B' FROM CONNECTION Web (SELECT n FROM Web) INTO GLOBAL WITH (TABLE = 'made')
+    """
+    j = validate_script(spark, script, http=lambda url, h: asked.append(url), out=io.StringIO())
+    assert not asked and not (tmp_path / "never.db").exists() and not j.store.tables and not j.frames
+    with pytest.raises(ScriptError):
+        validate_script(spark, "QUERY 'A' FROM BLOCK nope (SELECT 1) INTO CONSOLE")
+
+
+def test_tests_make_all_rows(spark):
+    script = "DATA 'D' ([[\"1\"],[\"x\"]]) WITH (COLUMNS = 'n') TRANSFORM 'T' FROM BLOCK D (APPLY CAST(n AS INT) AS n) INTO GLOBAL WITH (TABLE = 'none')"
+    with pytest.raises(Exception, match="not an integer"):
+        test_script(spark, script)
+
+
+def test_sources_with_several_readers_are_read_once(spark):
+    from pyspark.sql import functions as F
+
+    script = "DATA 'D' ([[1],[2]]) WITH (COLUMNS = 'n') QUERY 'A' FROM BLOCK D (SELECT * FROM D) INTO CONSOLE QUERY 'B' FROM BLOCK D (SELECT * FROM D) INTO CONSOLE"
+    found = {}
+    keep = lambda name, end, df: found.setdefault(name, df.collect()) is not None
+    run_script(spark, script, hooks=Hooks(source=lambda name, df: df.withColumn("r", F.expr("uuid()")) if name == "D" else None, sink=keep))
+    assert found["A"] == found["B"] and len(found["A"]) == 2
+
+
+def test_commit_is_tried_again_and_jobs_can_be_cancelled(spark, tmp_path):
+    from blockflow.plans.engine import Interrupted, job
+
+    file = tmp_path / "x.db"
+    with sqlite3.connect(file) as link:
+        link.execute("CREATE TABLE p (n int)")
+    script = f"CONNECTION 'DB' (Driver = 'sqlite3', ConnectionString = '{file}') DATA 'D' ([[1],[2]]) INTO CONNECTION DB WITH (COLUMNS = 'n', TABLE = 'p')"
+    tries = []
+
+    def break_commit(j):
+        def source(name, df):
+            db = j.database(j.connections["db"])
+            whole = db.commit
+
+            def commit():
+                tries.append(1)
+                if len(tries) < 3:
+                    raise sqlite3.OperationalError("database is locked")
+                whole()
+
+            db.commit = commit
+
+        return source
+
+    j = job(spark, script, pause=0.0)
+    j.hooks = Hooks(source=break_commit(j))
+    j.execute()
+    with sqlite3.connect(file) as link:
+        assert len(tries) == 3 and link.execute("SELECT count(*) FROM p").fetchone() == (2,)
+    j = job(spark, script)
+    j.hooks = Hooks(source=lambda name, df: j.cancel())
+    with pytest.raises(Interrupted, match="interrupted"):
+        j.execute()
+    with sqlite3.connect(file) as link:
+        assert link.execute("SELECT count(*) FROM p").fetchone() == (2,)
+
+
+def test_bound_arguments():
+    from datetime import datetime
+
+    from blockflow.functions.dialect import bound, marks
+
+    text = "SELECT '?', \"?\" FROM t -- ?\nWHERE a = ? AND b = ? AND c IS ? AND d > ?"
+    assert marks(text) == 4
+    made = bound(text, ["it's ?", 2, None, datetime(2020, 1, 2, 3)])
+    assert made.endswith("a = 'it''s ?' AND b = 2 AND c IS NULL AND d > TIMESTAMP '2020-01-02 03:00:00'") and made.startswith("SELECT '?', \"?\" FROM t -- ?")
+    with pytest.raises(ValueError):
+        bound("a = ?", [])
+
+
+def test_jdbc(spark):
+    """Derby, which Spark brings along, through the script's own words."""
+    url = "jdbc:derby:memory:blockflow;create=true"
+    head = f"CONNECTION 'DB' (Driver = 'jdbc', ConnectionString = '{url}') "
+    run_script(spark, head + "EXEC 'E' FROM CONNECTION DB (CREATE TABLE people (id BIGINT NOT NULL PRIMARY KEY, name VARCHAR(20)); INSERT INTO people VALUES (7, 'what?'))")
+    run_script(spark, head + "DATA 'D' ([[1,\"a? \"],[2,\"b\"],[3,\"c\"]]) WITH (COLUMNS = 'id,name') TRANSFORM 'T' FROM BLOCK D (APPLY CAST(id AS INT) AS id, name) INTO CONNECTION DB WITH (TABLE = 'people', ROWS_PER_BATCH = 2)", pause=0.0)
+    j = run_script(spark, head + "DECLARE @n; DATA 'P' ([[\"a? \"]]) INTO PARAMETER (@n) WITH (COLUMNS = 'n') QUERY 'Q' FROM CONNECTION DB (SELECT id, name FROM people WHERE name = ?) USING PARAMETER @n INTO CONSOLE AFTER P TRANSFORM 'S' FROM CONNECTION DB (APPLY id, name) INTO CONSOLE WITH (TABLE = 'people')", out=io.StringIO())
+    assert rows(j.frames["q"]) == [(1, "a? ")]
+    assert rows(j.frames["s"]) == [(1, "a? "), (2, "b"), (3, "c"), (7, "what?")]
+    with pytest.raises(Exception):  # noqa: B017  what comes before a failure is not written
+        run_script(spark, head + "DATA 'D' ([[9,\"x\"]]) INTO CONNECTION DB WITH (COLUMNS = 'id,name', TABLE = 'people') QUERY 'Q' FROM CONNECTION DB (SELECT nope FROM people) INTO CONSOLE AFTER D", out=io.StringIO(), pause=0.0)
+    assert spark.read.format("jdbc").option("url", url).option("dbtable", "people").load().count() == 4
+
+
 def test_entry_without_the_llm_folder(spark, tmp_path):
     import shutil
     import subprocess
