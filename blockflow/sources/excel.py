@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import shutil
 import zipfile
 from datetime import datetime
 from pathlib import Path
@@ -109,15 +108,55 @@ def write_excel(rows: list[list], file: str, sheet: str, area: str = "A1:*1", ov
         raise ValueError(f"{wide} columns do not fit {area}")
     if y2 is not None and len(rows) > y2 - y1 + 1:
         raise ValueError(f"{len(rows)} rows do not fit {area}")
-    cells: dict[tuple[int, int], object] = {}
+    cells = {(y1 + i, x1 + j): v for i, r in enumerate(rows) for j, v in enumerate(r) if v is not None}
     if template:
-        shutil.copyfile(template, file)
-        cells = read_cells(template, sheet)
-    for i, r in enumerate(rows):
-        for j, v in enumerate(r):
-            if v is not None:
-                cells[y1 + i, x1 + j] = v
-    body = "".join(f'<row r="{y}">{"".join(_cell(y, x, cells[y, x]) for yy, x in sorted(cells) if yy == y)}</row>' for y in sorted({y for y, _ in cells}))
+        _fill(template, file, sheet, cells)
+    else:
+        _new(file, sheet, cells)
+
+
+def _by_row(cells: dict[tuple[int, int], object]) -> dict[int, list[tuple[int, object]]]:
+    out: dict[int, list[tuple[int, object]]] = {}
+    for (y, x), v in sorted(cells.items(), key=lambda c: c[0]):
+        out.setdefault(y, []).append((x, v))
+    return out
+
+
+def _fill(template: str, file: str, sheet: str, cells: dict[tuple[int, int], object]) -> None:
+    """A copy of the book in which the cells have new values; styles, other cells and other sheets stay."""
+    tag = lambda name: f"{{{_MAIN}}}{name}"
+    with zipfile.ZipFile(template) as old:
+        parts = {i.filename: old.read(i.filename) for i in old.infolist()}
+        sheets = _sheets(old)
+    if sheet not in sheets:
+        raise ValueError(f"no sheet {sheet!r} in {template}; there are {', '.join(sheets)}")
+    for prefix, uri in re.findall(rb'xmlns:?(\w*)="([^"]+)"', parts[sheets[sheet]]):
+        if not re.fullmatch(rb"ns\d+", prefix):
+            ET.register_namespace(prefix.decode(), uri.decode())
+    root = ET.fromstring(parts[sheets[sheet]])
+    data = root.find(tag("sheetData"))
+    lines = {int(r.get("r", 0)): r for r in data}
+    for y, values in _by_row(cells).items():
+        line = lines.setdefault(y, ET.Element(tag("row"), {"r": str(y)}))
+        own = {column_number(re.sub(r"\d", "", c.get("r", ""))): c for c in line}
+        for x, v in values:
+            new = ET.fromstring(_cell(y, x, v).replace("<c ", f'<c xmlns="{_MAIN}" ', 1))
+            if x in own and own[x].get("s"):
+                new.set("s", own[x].get("s"))
+            own[x] = new
+        line[:] = [own[x] for x in sorted(own)]
+        line.attrib.pop("spans", None)
+    data[:] = [lines[y] for y in sorted(lines)]
+    for size in root.findall(tag("dimension")):
+        root.remove(size)
+    parts[sheets[sheet]] = ET.tostring(root, encoding="UTF-8", xml_declaration=True)
+    with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, content in parts.items():
+            z.writestr(name, content)
+
+
+def _new(file: str, sheet: str, cells: dict[tuple[int, int], object]) -> None:
+    body = "".join(f'<row r="{y}">{"".join(_cell(y, x, v) for x, v in values)}</row>' for y, values in _by_row(cells).items())
     head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
     with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("[Content_Types].xml", head + '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>')

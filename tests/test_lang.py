@@ -45,6 +45,68 @@ def test_templates():
         template.render("{{ if .Key }}", v)
 
 
+def test_template_actions():
+    v = {"Names": ["a", "b"], "MODE": "Test", "n": 3.0, "Empty": [], "Place": {"City": "X"}}
+    for text, want in (
+        ('{{ if eq .MODE "Prod" }}p{{ else if eq .MODE "Test" }}t{{ else }}q{{ end }}', "t"),
+        ("{{ if .Nope }}1{{ else if .Empty }}2{{ else if .n }}3{{ else }}4{{ end }}5", "35"),
+        ("{{ range .Names }}<{{ . }}>{{ end }}", "<a><b>"),
+        ("{{ range $i, $x := .Names }}{{ if $i }}, {{ end }}{{ $x }}{{ $.MODE }}{{ end }}", "aTest, bTest"),
+        ("{{ range .Empty }}x{{ else }}none{{ end }}", "none"),
+        ("{{ with .Place }}{{ .City }}{{ else }}?{{ end }}{{ with .Nope }}y{{ end }}", "X"),
+        ('{{ $q := printf "%03d-%s" .n .MODE }}{{ $q }}{{ $q | len }}', "003-Test8"),
+        ('{{ index .Names 1 }} {{ .Names | len }} {{ and .n .MODE }} {{ or .Nope "d" }} {{ not .n }}', "b 2 Test d false"),
+        ("a  {{- .n -}}  b{{/* nothing */}}", "a3b"),
+        ('{{ if and (gt .n 2) (lt .n 10.5) }}in{{ end }}{{ "x y" | urlquery }}{{ html "<" }}', "inx+y&lt;"),
+        ("{{ $x := 1 }}{{ if .n }}{{ $x := 2 }}{{ $x }}{{ end }}{{ $x }}", "21"),
+    ):
+        assert template.render(text, v) == want, text
+    for bad in ("{{ end }}", "{{ else }}", "{{ if .n }}", "{{ nope .n }}", "{{ }}", "{{ .n 1 }}", "{{ $y }}", "{{ len (1 }}"):
+        with pytest.raises(ValueError):
+            template.render(bad, v)
+
+
+def test_chat_handler():
+    import json
+    import logging
+
+    from blockflow.runtime.forward import ChatHandler
+
+    sent = []
+    h = ChatHandler("http://hook", channel="#x", lines=2, send=lambda url, body: sent.append(json.loads(body)))
+    log = logging.Logger("job")
+    log.addHandler(h)
+    log.debug("below the level")
+    log.info("one")
+    assert not sent
+    log.info("two %d", 2)
+    log.error("bad")
+    log.info("last")
+    h.close()
+    assert [[a["text"] for a in m["attachments"]] for m in sent] == [["one", "two 2"], ["bad"], ["last"]]
+    assert sent[1]["attachments"][0]["color"] == "danger" and sent[0]["channel"] == "#x"
+
+
+def test_excel_templates_keep_the_book(tmp_path):
+    import zipfile
+
+    base, out = str(tmp_path / "base.xlsx"), str(tmp_path / "out.xlsx")
+    excel.write_excel([["h", "i"], [1, 2], [3, 4]], base, "S", "A1:B*")
+    with zipfile.ZipFile(base) as z:
+        parts = {n: z.read(n) for n in z.namelist()}
+    parts["xl/worksheets/sheet1.xml"] = parts["xl/worksheets/sheet1.xml"].replace(b'<c r="B2">', b'<c r="B2" s="7">')
+    parts["xl/other.xml"] = b"<kept/>"
+    with zipfile.ZipFile(base, "w") as z:
+        for n, content in parts.items():
+            z.writestr(n, content)
+    excel.write_excel([[9, "x"]], out, "S", "B2:*2", template=base)
+    assert excel.read_cells(out, "S") == {(1, 1): "h", (1, 2): "i", (2, 1): 1.0, (2, 2): 9.0, (2, 3): "x", (3, 1): 3.0, (3, 2): 4.0}
+    with zipfile.ZipFile(out) as z:
+        assert z.read("xl/other.xml") == b"<kept/>" and b's="7"' in z.read("xl/worksheets/sheet1.xml")
+    with pytest.raises(ValueError):
+        excel.write_excel([[1]], str(tmp_path / "no.xlsx"), "T", "A1:*1", template=base)
+
+
 def test_dialect():
     assert rewrite("SELECT TOP 3 a AS 'B c' FROM t WHERE x LIKE '%as ''q''%'") == "SELECT a AS `B c` FROM t WHERE x ILIKE '%as ''q''%' LIMIT 3"
     assert statements("a; b ';' c -- d;\n; ") == ["a", "b ';' c"]
