@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from urllib.parse import urlencode
 from urllib.request import Request, urlopen
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .literal import frame, literal
+from .literal import gathered, literal
 
 Transport = Callable[[str, dict[str, str]], str]
 
@@ -45,11 +45,14 @@ def http_source(spark: SparkSession, url: str, columns: list[str], path: str | N
     """All pages; without a page size there is one. A key that an object lacks is null."""
     if form.upper() == "CSV":
         return literal(spark, transport(url, headers or {}), "CSV", columns)
-    rows: list[list] = []
-    page = 0
-    while True:
-        got = rows_of(transport(page_url(url, limit, offset, size, page), headers or {}), columns, path)
-        rows += got
-        page += 1
-        if not size or not got:
-            return frame(spark, rows, columns)
+
+    def rows() -> Iterator[list]:
+        page = 0
+        while True:
+            got = rows_of(transport(page_url(url, limit, offset, size, page), headers or {}), columns, path)
+            yield from got
+            page += 1
+            if not size or not got:
+                return
+
+    return gathered(spark, rows(), columns)

@@ -5,10 +5,19 @@ from __future__ import annotations
 import csv
 import io
 import json
+from collections.abc import Iterable
+from functools import reduce
+from itertools import chain, islice
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime.durable import cut
+
+#: Rows from a cursor, a page or a child that the driver holds at once.
+CHUNK = 100_000
+
 
 def _kind(values: list) -> T.DataType:
     """The narrowest type of a column's JSON values: numbers are doubles, mixed or nested ones text."""
@@ -34,6 +43,34 @@ def frame(spark: SparkSession, rows: list[list], columns: list[str]) -> DataFram
     return spark.createDataFrame([tuple(cell(v, k) for v, k in zip(r, kinds, strict=True)) for r in rows], schema)
 
 
+def gathered(spark: SparkSession, rows: Iterable[list], columns: list[str], whole: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """frame() of rows that come one after the other, of which the driver holds `chunk` at once: more are written to the shared folder.
+
+    With whole, columns of integers alone are bigint."""
+    rows = iter(rows)
+    held = list(islice(rows, chunk))
+    later = next(rows, None)
+    types: list[set[type]] = [set() for _ in columns]
+
+    def note(part: list[list]) -> None:
+        for own, values in zip(types, zip(*part, strict=True), strict=bool(part)):
+            own.update(type(v) for v in values if v is not None)
+
+    note(held)
+    if later is None:
+        out = frame(spark, held, columns)
+    else:
+        parts, schema = [], T.StructType([T.StructField("cells", T.ArrayType(T.StringType()))])
+        rows = chain([later], rows)
+        while held:
+            parts.append(cut(spark.createDataFrame([([v if v is None or isinstance(v, str) else json.dumps(v) for v in r],) for r in held], schema)))
+            held = list(islice(rows, chunk))
+            note(held)
+        kinds = [_kind([None if t is type(None) else t() for t in own]) for own in types]
+        out = reduce(DataFrame.union, parts).select(*[F.get("cells", F.lit(i)).cast(k).alias(c) for i, (c, k) in enumerate(zip(columns, kinds, strict=True))])
+    return out.withColumns({c: F.col(f"`{c}`").cast("bigint") for c, own in zip(columns, types, strict=True) if own == {int}}) if whole else out
+
+
 def literal(spark: SparkSession, content: str, form: str = "JSON_ARRAY", columns: list[str] | None = None) -> DataFrame:
     """JSON_ARRAY: rows by position; JSON_OBJECTS: by key in any case; CSV: all text, no header."""
     form = form.upper()

@@ -100,18 +100,21 @@ def plugin_transform(sources: dict[str, DataFrame], sinks: list[str], command: l
 
 def plugin_source(spark: SparkSession, command: list[str], options: dict | None = None) -> DataFrame:
     """Rows that a child gives until it has no more."""
-    from .literal import frame
+    from .literal import gathered
 
     child = Child(command)
     for k, v in (options or {}).items():
         child.call("set_option", k, v)
     outputs = child.call("get_output_columns")
     names = outputs if isinstance(outputs, list) else next(iter(outputs.values()))
-    rows: list[list] = []
-    while got := (child.call("receive") or {}).get("rows"):
-        rows += [r["data"] if isinstance(r, dict) else r for r in got]
+
+    def rows() -> Iterator[list]:
+        while got := (child.call("receive") or {}).get("rows"):
+            yield from (r["data"] if isinstance(r, dict) else r for r in got)
+
+    out = gathered(spark, rows(), names)
     child.close()
-    return frame(spark, rows, names)
+    return out
 
 
 def plugin_sink(df: DataFrame, command: list[str], options: dict | None = None, source: str = "source") -> None:

@@ -7,7 +7,7 @@ import sqlite3
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import bound, marks, statements
-from .literal import frame
+from .literal import gathered
 
 
 class Database:
@@ -27,10 +27,7 @@ class SQLite(Database):
 
     def query(self, sql: str, args: list) -> DataFrame:
         c = self.link.execute(sql, args)
-        rows = [list(r) for r in c.fetchall()]
-        out = frame(self.spark, rows, [d[0] for d in c.description])
-        whole = [i for i in range(len(out.columns)) if rows and all(r[i] is None or type(r[i]) is int for r in rows) and any(r[i] is not None for r in rows)]
-        return out.withColumns({out.columns[i]: out[out.columns[i]].cast("bigint") for i in whole}) if whole else out
+        return gathered(self.spark, map(list, c), [d[0] for d in c.description], whole=True)
 
     def execute(self, sql: str, args: list) -> None:
         for s in statements(sql):

@@ -252,6 +252,47 @@ def test_commit_is_tried_again_and_jobs_can_be_cancelled(spark, tmp_path):
         assert link.execute("SELECT count(*) FROM p").fetchone() == (2,)
 
 
+def test_rows_are_gathered_in_chunks(spark):
+    from blockflow.sources.literal import frame, gathered
+
+    data = [[1, "a", True, 1.5, "x", None], [2, None, False, 2, 7, None], [None, "it's", None, None, {"k": [1]}, None], [4, "", True, -1e300, None, None], [5, "2", True, 0, "y", None]]
+    names = ["i", "s", "b", "f", "m", "none"]
+    want = frame(spark, data, names)
+    for chunk in (1, 2, 5, 9):
+        got = gathered(spark, iter(data), names, chunk=chunk)
+        assert got.dtypes == want.dtypes and rows(got) == rows(want)
+        whole = gathered(spark, iter(data), names, whole=True, chunk=chunk)
+        assert whole.dtypes[0] == ("i", "bigint") and [r.i for r in whole.orderBy("i").collect()] == [None, 1, 2, 4, 5]
+    assert gathered(spark, iter([]), names).count() == 0
+
+
+def test_plugin_source_and_sink(spark, tmp_path):
+    import sys
+
+    from blockflow.sources.plugins import plugin_sink, plugin_source
+
+    source = """
+import json, sys
+left = [[1, "a"], [2, "b"], [3, None]]
+for line in sys.stdin:
+    q = json.loads(line)
+    r = ["n", "s"] if q["method"] == "get_output_columns" else {"rows": [left.pop(0)] if left else []} if q["method"] == "receive" else None
+    print(json.dumps({"jsonrpc": "2.0", "id": q["id"], "result": r}), flush=True)
+"""
+    df = plugin_source(spark, [sys.executable, "-c", source])
+    assert rows(df) == [(1.0, "a"), (2.0, "b"), (3.0, None)]
+    sink = f"""
+import json, sys
+for line in sys.stdin:
+    q = json.loads(line)
+    if q["method"] == "receive" and q["params"][0]:
+        open({str(tmp_path / "got")!r}, "a").write("".join(json.dumps(r) + "\\n" for r in q["params"][0]))
+    print(json.dumps({{"jsonrpc": "2.0", "id": q["id"], "result": None}}), flush=True)
+"""
+    plugin_sink(df.repartition(2), [sys.executable, "-c", sink])
+    assert sorted((tmp_path / "got").read_text().splitlines()) == ['[1.0, "a"]', '[2.0, "b"]', "[3.0, null]"]
+
+
 def test_bound_arguments():
     from datetime import datetime
 
