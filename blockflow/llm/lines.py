@@ -6,17 +6,18 @@ under its length, and probes the lengths up to `edits` shorter with the
 substrings that a segment can have moved to (each segment's edits to the left
 and to the right bound its shift). A line under a key meets the key's earliest
 line first, one pair a key; what that proves to be a repeat asks no further, as
-one near line that stands earlier is enough, and the rest meet the other lines
-under their keys. Pairs that meet are verified by an automaton
-whose states for all diagonals of the band are the bits of one integer for each
-number of edits; a character moves them all at once."""
+one near line that stands earlier is enough. The rest meet the other lines under
+their keys inside a join that gives near pairs alone. A compiled distance lets few
+of the pairs that meet through; those are decided by an automaton whose states
+for all diagonals of the band are the bits of one integer for each number of
+edits; a character moves them all at once."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SEPARATORS, cut, drop, scope
+from .common import WORD_SEPARATORS, cut, scope
 from .native import let, span
 
 #: Lines of fewer code points, in which two edits change too much of what they say, go only for equal ones; blank lines stay.
@@ -112,18 +113,14 @@ def _meetings(lines: DataFrame, edits: int) -> DataFrame:
     order = F.coalesce("first.doc_id", F.lit(-(1 << 63)))
     index = long.select("id", order.alias("at"), F.explode(index_keys(F.col("line"), edits)).alias("key"))
     pivots = index.groupBy("key").agg(F.count("*").alias("many"), F.min_by("id", "at").alias("pivot"))
-    own = F.transform(index_keys(F.col("line"), edits), lambda k: F.struct(k.alias("key"), F.lit(True).alias("indexed")))
-    probes = F.transform(F.filter(probe_keys(F.col("line"), edits), lambda k: k.isNotNull()), lambda k: F.struct(k.alias("key"), F.lit(False).alias("indexed")))
-    rows = long.select("id", F.explode(F.concat(own, probes)).alias("r")).select("id", "r.*")
+    probes = long.select(F.explode(probe_keys(F.col("line"), edits)).alias("key"), "id", F.lit(False).alias("indexed")).where("key IS NOT NULL")
+    rows = index.select("key", "id", F.lit(True).alias("indexed")).union(probes)
     return cut(rows.join(pivots, "key").where("many > 1 OR pivot != id").select("key", "id", "indexed", "pivot", "many"))
 
 
-def _later(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
-    """id of the later line of each pair (a, b) within the edits."""
-    side = lambda k: lines.select(F.col("id").alias(k), F.col("first").alias(f"{k}_first"), F.col("line").alias(f"{k}_line"))
-    texts = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    near = texts.where(within_edits(F.col("a_line"), F.col("b_line"), edits))
-    return near.select(F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
+def _near(a: str, b: str, edits: int) -> Column:
+    """The compiled distance lets few pairs through to the automaton, which decides."""
+    return (F.levenshtein(F.col(a), F.col(b), edits) >= 0) & within_edits(F.col(a), F.col(b), edits)
 
 
 def near_repeats(lines: DataFrame, edits: int) -> DataFrame:
@@ -132,16 +129,16 @@ def near_repeats(lines: DataFrame, edits: int) -> DataFrame:
     ids = met.select("id").union(met.select(F.col("pivot").alias("id"))).distinct()
     few = ids.count() <= BROADCAST_IDS
     lines = cut(lines.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "first", "line"))
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    proven = cut(_later(met.where("id != pivot").select(*ordered("id", "pivot")), lines, edits))
-    place = lines.select("id", F.col("first").alias("place"))
+    side = lambda x: lines.select(F.col("id").alias(x), F.col("first").alias(f"{x}_first"), F.col("line").alias(f"{x}_line"))
+    pairs = met.where("id != pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_near("a_line", "b_line", edits))
+    proven = cut(near.select(F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct())
     others = met.where("many > 1 AND id != pivot").select("key", "id", "indexed")  # the pivot has met all under its key
-    x = others.join(proven, "id", "left_anti").join(place, "id").select("key", F.col("id").alias("x"), F.col("indexed").alias("x_indexed"), F.col("place").alias("x_place"))
-    y = others.join(place, "id").select("key", F.col("id").alias("y"), F.col("indexed").alias("y_indexed"), F.col("place").alias("y_place"))
-    pairs = cut(x.join(y, "key").where("y_place < x_place AND (x_indexed OR y_indexed)").select(*ordered("x", "y")).distinct())
-    more = cut(_later(pairs, lines, edits).union(proven).distinct(), pairs)
-    drop(met, lines, proven)
-    return more
+    x = others.join(proven, "id", "left_anti").withColumnsRenamed({"id": "x", "indexed": "x_indexed"}).join(side("x"), "x")
+    y = others.withColumnsRenamed({"id": "y", "indexed": "y_indexed"}).join(side("y"), "y")
+    meet = (x["key"] == y["key"]) & (x["x_indexed"] | y["y_indexed"]) & (y["y_first"] < x["x_first"])
+    later = x.join(y, meet & (F.levenshtein(x["x_line"], y["y_line"], edits) >= 0)).where(within_edits(F.col("x_line"), F.col("y_line"), edits))
+    return cut(later.select(F.col("x").alias("id")).union(proven).distinct(), met, lines, proven)
 
 
 def repeated_lines(docs: DataFrame, edits: int = 2) -> DataFrame:
