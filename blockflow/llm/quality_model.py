@@ -175,7 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMP
         return {"doc_id": cols["doc_id"], "quality": cols["quality"], "x": features([t or b"" for t in cols["text"]]).tolist()}
 
     got = arrow_map(rows.select("doc_id", "quality", "text"), run, "doc_id long, quality int, x array<double>", binary_text=True).toArrow()
-    got = got.take(sorted(range(got.num_rows), key=lambda i, d=got.column("doc_id").to_pylist(), x=got.column("x").to_pylist(): (d[i], x[i])))
+    ids, rows = got.column("doc_id").to_pylist(), got.column("x").to_pylist()
+    got = got.take(pa.array(sorted(range(got.num_rows), key=lambda i: (ids[i], rows[i])), type=pa.int64()))
     x = np.array(got.column("x").to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
     y = got.column("quality").to_numpy().astype(np.float64)
     seen: dict[int, int] = {}
