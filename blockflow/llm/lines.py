@@ -7,13 +7,15 @@ substrings that a segment can have moved to (each segment's edits to the left
 and to the right bound its shift). A line under a key meets the key's earliest
 line first, one pair a key; what that proves to be a repeat asks no further, as
 one near line that stands earlier is enough. The rest meet the other lines under
-their keys inside a join that gives near pairs alone. A compiled distance lets few
-of the pairs that meet through; those are decided by an automaton whose states
+their keys, where numbers of some characters leave room for the edits. A compiled
+distance lets few of the pairs that meet through; those are decided by an automaton whose states
 for all diagonals of the band are the bits of one integer for each number of
 edits; a character moves them all at once."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,9 @@ from .native import let, span
 LEAST_CHARS = 20
 #: Up to so many ids (of 8 bytes) are broadcast to pick the lines that have anything to meet; more are joined.
 BROADCAST_IDS = 1 << 20
+#: Characters whose numbers tell lines apart that share a key but more than the edits.
+COUNTED = "etaoinsrludm "
+_COUNTS = [f"n{k}" for k in range(len(COUNTED))]
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
@@ -118,27 +123,30 @@ def _meetings(lines: DataFrame, edits: int) -> DataFrame:
     return cut(rows.join(pivots, "key").where("many > 1 OR pivot != id").select("key", "id", "indexed", "pivot", "many"))
 
 
-def _near(a: str, b: str, edits: int) -> Column:
-    """The compiled distance lets few pairs through to the automaton, which decides."""
-    return (F.levenshtein(F.col(a), F.col(b), edits) >= 0) & within_edits(F.col(a), F.col(b), edits)
-
-
 def near_repeats(lines: DataFrame, edits: int) -> DataFrame:
     """id of the distinct lines within `edits` edits of one whose first place is earlier."""
     met = _meetings(lines, edits)
     ids = met.select("id").union(met.select(F.col("pivot").alias("id"))).distinct()
     few = ids.count() <= BROADCAST_IDS
-    lines = cut(lines.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "first", "line"))
-    side = lambda x: lines.select(F.col("id").alias(x), F.col("first").alias(f"{x}_first"), F.col("line").alias(f"{x}_line"))
-    pairs = met.where("id != pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_near("a_line", "b_line", edits))
-    proven = cut(near.select(F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct())
+    lines = cut(lines.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "first", "line", *[(F.length("line") - F.length(F.translate("line", c, ""))).alias(f"n{k}") for k, c in enumerate(COUNTED)]))
+    proven = cut(_later(met.where("id != pivot").select("id", F.col("pivot").alias("other")), lines, edits))
     others = met.where("many > 1 AND id != pivot").select("key", "id", "indexed")  # the pivot has met all under its key
-    x = others.join(proven, "id", "left_anti").withColumnsRenamed({"id": "x", "indexed": "x_indexed"}).join(side("x"), "x")
-    y = others.withColumnsRenamed({"id": "y", "indexed": "y_indexed"}).join(side("y"), "y")
-    meet = (x["key"] == y["key"]) & (x["x_indexed"] | y["y_indexed"]) & (y["y_first"] < x["x_first"])
-    later = x.join(y, meet & (F.levenshtein(x["x_line"], y["y_line"], edits) >= 0)).where(within_edits(F.col("x_line"), F.col("y_line"), edits))
-    return cut(later.select(F.col("x").alias("id")).union(proven).distinct(), met, lines, proven)
+    side = lambda x: lines.select("id", *[F.col(c).alias(f"{x}_{c}") for c in ("first", *_COUNTS)])
+    x = others.join(proven, "id", "left_anti").join(side("x"), "id").withColumnsRenamed({"id": "x", "indexed": "x_indexed"})
+    y = others.join(side("y"), "id").withColumnsRenamed({"id": "y", "indexed": "y_indexed"})
+    unlike = reduce(Column.__add__, [F.abs(x[f"x_{c}"] - y[f"y_{c}"]) for c in _COUNTS])  # an edit changes two counts by one at most
+    meet = (x["key"] == y["key"]) & (x["x_indexed"] | y["y_indexed"]) & (y["y_first"] < x["x_first"]) & (unlike <= 2 * edits)
+    pairs = cut(x.join(y, meet).select(F.col("x").alias("id"), F.col("y").alias("other")).distinct())
+    return cut(_later(pairs, lines, edits).union(proven).distinct(), pairs, met, lines, proven)
+
+
+def _later(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """id of the later line of each pair (id, other) within the edits; the compiled distance lets few pairs through to the automaton, which decides."""
+    ordered = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    side = lambda x: lines.select(F.col("id").alias(x), F.col("first").alias(f"{x}_first"), F.col("line").alias(f"{x}_line"))
+    texts = ordered.join(side("a"), "a").join(side("b"), "b")
+    near = texts.where((F.levenshtein(F.col("a_line"), F.col("b_line"), edits) >= 0) & within_edits(F.col("a_line"), F.col("b_line"), edits))
+    return near.select(F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
 
 
 def repeated_lines(docs: DataFrame, edits: int = 2) -> DataFrame:
