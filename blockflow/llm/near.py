@@ -373,8 +373,11 @@ def _sets(words: int, frequent: np.ndarray, rank: np.ndarray, only):
 
 def _sets_of(docs: DataFrame, pairs: DataFrame, words: int, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
     """The sets of the documents that the pairs name (and of few others), read anew from their texts, so that no others are moved."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    many = ids.count()
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
+    many = 2 * pairs.count()  # at most; the distinct ones are counted only where this is too many
+    if many > MAPPED:
+        ids = ids.distinct()
+        many = ids.count()
     if many > MAPPED:
         return cut(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(words, frequent, rank, iter), "rep long, grams binary"))
     bits = 1 << max(10, (16 * many - 1).bit_length())

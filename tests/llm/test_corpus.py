@@ -141,6 +141,20 @@ def test_components(spark):
     assert got == {n: root(n) for n in head if n in got} and {n for n in head if root(n) != n} <= set(got)
 
 
+@pytest.mark.parametrize("in_one_task", [1 << 20, 0])
+def test_components_in_one_task_and_by_rounds(spark, monkeypatch, in_one_task):
+    monkeypatch.setattr(components, "IN_ONE_TASK", in_one_task)
+    cuts = []
+    monkeypatch.setattr(components, "cut", lambda df, *spent, cut=components.cut: cuts.append(1) or cut(df, *spent))
+    order = random.Random(5).sample(range(64), 64)
+    links = [*zip(order, order[1:]), *((1000 + i, 999) for i in range(50)), *((2000 + i, 2100 + i % 7) for i in range(40)), (999, 1001), (-5, 5000), (3, 3), (6000, 6000), (None, 1)]
+    got = components.components(spark.createDataFrame(links, "a long, b long").repartition(3)).collect()
+    want = {n: 0 for n in order} | {n: 999 for n in range(999, 1050)} | {n: 2000 + (n - 2100 if n >= 2100 else n - 2000) % 7 for n in [*range(2000, 2040), *range(2100, 2107)]} | {-5: -5, 5000: -5}
+    same(got, want.items())
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert len(cuts) == 4 if in_one_task else len(cuts) > 4  # links and result of each graph: a small one takes no rounds
+
+
 # -- lines
 
 
