@@ -71,26 +71,40 @@ def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     return base * i + F.greatest(F.lit(0), from_longer), base + F.when(from_longer >= 0, 1).otherwise(0)
 
 
-def _key(line: Column, length: Column, i: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), F.substr(line, start + 1, size))
+def with_segments(lines: DataFrame, edits: int) -> DataFrame:
+    """lines with their length n, and start and size of the segments of lines as long and up to `edits` shorter.
+
+    As columns they are worked out once a line, and at 2 edits the code that makes
+    the keys stays within the 8,000 bytes beyond which the JVM leaves a method
+    interpreted."""
+    parts = {}
+    for shorter in range(edits + 1):
+        for i in range(edits + 1):
+            parts[f"start_{shorter}_{i}"], parts[f"size_{shorter}_{i}"] = _segment(F.col("n") - shorter, i, edits)
+    return lines.withColumn("n", F.length("line")).withColumns(parts)
+
+
+def _key(shorter: int, i: int, shift: int = 0) -> Column:
+    """Key of segment i of the lines `shorter` than this one, found `shift` further on in it."""
+    start = F.col(f"start_{shorter}_{i}") + shift + 1
+    return F.xxhash64(F.col("n") - shorter, F.lit(i), F.substr(F.col("line"), start, F.col(f"size_{shorter}_{i}")))
 
 
-def index_keys(line: Column, edits: int) -> Column:
+def index_keys(edits: int) -> Column:
     """A line's own keys."""
-    n = F.length(line)
-    return F.array(*[_key(line, n, i, *_segment(n, i, edits)) for i in range(edits + 1)])
+    return F.array(*[_key(0, i) for i in range(edits + 1)])
 
 
-def probe_keys(line: Column, edits: int) -> Column:
+def probe_keys(edits: int) -> Column:
     """Keys of the indexed lines up to `edits` shorter that this one may be near, beside its own index keys; null where a substring would leave the line."""
-    n, out = F.length(line), []
+    out = []
     for shorter in range(edits + 1):
         for i in range(edits + 1):
-            start, size = _segment(n - shorter, i, edits)
+            start = F.col(f"start_{shorter}_{i}")
             for o in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
                 if shorter or o:
-                    inside = (start + o >= 0) & (start + o + size <= n)
-                    out.append(F.when(inside, _key(line, n - shorter, i, start + o, size)))
+                    inside = (start + o >= 0) & (start + o + F.col(f"size_{shorter}_{i}") <= F.col("n"))
+                    out.append(F.when(inside, _key(shorter, i, o)))
     return F.array(*out)
 
 
@@ -112,13 +126,18 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
     return cut(found.select(F.monotonically_increasing_id().alias("id"), "h", "g", "times", first, "m.line"))
 
 
+def _keyed(lines: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
+    """id, at (what orders lines) and key of the lines under their own keys; key, id and indexed (false) under those they probe."""
+    long = with_segments(lines.where(F.length("line") >= LEAST_CHARS), edits)
+    order = F.coalesce("first.doc_id", F.lit(-(1 << 63)))
+    index = long.select("id", order.alias("at"), F.explode(index_keys(edits)).alias("key"))
+    return index, long.select(F.explode(probe_keys(edits)).alias("key"), "id", F.lit(False).alias("indexed")).where("key IS NOT NULL")
+
+
 def _meetings(lines: DataFrame, edits: int) -> DataFrame:
     """key, id, indexed, pivot and many: the lines under keys that hold another one, with the key's earliest indexed line and their number."""
-    long = lines.where(F.length("line") >= LEAST_CHARS)
-    order = F.coalesce("first.doc_id", F.lit(-(1 << 63)))
-    index = long.select("id", order.alias("at"), F.explode(index_keys(F.col("line"), edits)).alias("key"))
+    index, probes = _keyed(lines, edits)
     pivots = index.groupBy("key").agg(F.count("*").alias("many"), F.min_by("id", "at").alias("pivot"))
-    probes = long.select(F.explode(probe_keys(F.col("line"), edits)).alias("key"), "id", F.lit(False).alias("indexed")).where("key IS NOT NULL")
     rows = index.select("key", "id", F.lit(True).alias("indexed")).union(probes)
     return cut(rows.join(pivots, "key").where("many > 1 OR pivot != id").select("key", "id", "indexed", "pivot", "many"))
 

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from blockflow.llm import components, fingerprints, language_model, lines, near, passages, quality_model, quality_rules
 from blockflow.llm.queries import fold
@@ -168,6 +169,16 @@ def distance(a, b):
     return row[-1]
 
 
+def test_key_code_is_small_enough_for_the_jvm_to_compile(spark):
+    docs = spark.createDataFrame([(1, "a line of more than twenty characters\nand another one, é, of more than those")], "doc_id long, text string")
+    found = lines.distinct_lines(docs)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    for keyed, keys in zip(lines._keyed(found, 2), (3, 9), strict=True):
+        sizes = re.findall(r"maxMethodCodeSize:(\d+)", keyed._jdf.queryExecution().explainString(mode))
+        assert sizes and max(map(int, sizes)) < 8000
+        assert {r.n for r in keyed.groupBy("id").agg(F.count("*").alias("n")).collect()} == {keys}
+
+
 @pytest.mark.parametrize("edits", [1, 2, 3])
 def test_lines_match_brute_force(spark, edits):
     rng = random.Random(edits)
