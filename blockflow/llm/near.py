@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, cut, drop, scope, small_batches
+from .common import BATCH_ROWS, _arrow_schema, cut, drop, scope, small_batches
 from .components import components
 from .passages import BYTE, _mix, _powers
 
@@ -43,6 +43,8 @@ LEAST_LEVEL, LEAST_FINE, MOST_LEVEL = 4, 6, 9
 FINER = 8
 #: Groups under one n-gram beyond this are compared with a few pivots in the first pass.
 WIDE = 256
+#: Bucket counts handled at once, a byte each, so that comparing groups takes little memory beside the group's own counts, however wide it is.
+PIECE = 1 << 20
 
 
 def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,32 +167,41 @@ def _describe(words: int, percent: int, frequent: np.ndarray, rank: np.ndarray,
     return run
 
 
+def _binary(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls, and where each value's begin (and the last end)."""
+    rows = column.cast(pa.large_binary()).combine_chunks()  # large: two gigabytes are no bound
+    _, offsets, data = rows.buffers()
+    begin = np.frombuffer(offsets, dtype=np.int64)[rows.offset : rows.offset + len(rows) + 1] if len(rows) else np.zeros(1, dtype=np.int64)
+    return np.frombuffer(data or b"", dtype=np.uint8), begin
+
+
 class _Group:
-    """Rows under one or several n-grams, in order, with their bounds."""
+    """Rows under one or several n-grams, in order, with their bounds; a row's counts are held at a byte a bucket, some two bytes with all their folds."""
 
-    def __init__(self, parts: list[pa.RecordBatch], percent: int):
-        t = pa.Table.from_batches(parts).combine_chunks()
-        get = lambda c: t.column(c).to_numpy()
+    def __init__(self, rows: pa.Table, percent: int):
+        self.rows = rows
+        get = lambda c: rows.column(c).to_numpy()
         self.gram, self.rep, self.n = get("gram"), get("rep"), get("n")
-        self.part = get("component") if "component" in t.column_names else None
-        vectors = t.column("vector").to_pylist()
-        width = np.array([len(v) for v in vectors])
-        self.level = np.log2(width).astype(np.int64) if len(width) else width
+        self.part = get("component") if "component" in rows.column_names else None
+        data, begin = _binary(rows.column("vector"))
+        self.level = np.log2(np.diff(begin)).astype(np.int64)
         #: By level: each row's line in the counts of that level, and the counts.
         self.counts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for level in np.unique(self.level)[::-1].tolist():
+            wide = 1 << level
             own = np.flatnonzero(self.level == level)
-            full = np.frombuffer(b"".join([vectors[i] for i in own.tolist()]), dtype=np.uint8).reshape(-1, 1 << level).astype(np.int16)
-            rows = [own]
-            grids = [full]
-            if self.counts:  # wider rows fold down: the low bits of a bucket's number are those of the coarser bucket
-                finer = min(self.counts)
-                line, grid = self.counts[finer]
-                rows.append(np.flatnonzero(line >= 0))
-                grids.append(np.minimum(grid[line[rows[1]]].reshape(len(rows[1]), -1, 1 << level).sum(axis=1), 255).astype(np.int16))
-            line = np.full(len(vectors), -1, dtype=np.int64)
-            line[np.concatenate(rows)] = np.arange(sum(map(len, rows)))
-            self.counts[level] = line, np.concatenate(grids)
+            finer = np.flatnonzero(self.level > level)
+            line = np.full(rows.num_rows, -1, dtype=np.int64)
+            line[own], line[finer] = np.arange(len(own)), len(own) + np.arange(len(finer))
+            grid = np.empty((len(own) + len(finer), wide), dtype=np.uint8)
+            for at in _pieces(len(own), wide):
+                grid[at] = data[begin[own[at], None] + np.arange(wide)]
+            if len(finer):  # wider rows fold down: the low bits of a bucket's number are those of the coarser bucket
+                above, full = self.counts[min(self.counts)]
+                for at in _pieces(len(finer), full.shape[1]):
+                    folded = full[above[finer[at]]].reshape(-1, full.shape[1] // wide, wide).sum(axis=1, dtype=np.uint32)
+                    grid[len(own) + at.start : len(own) + at.stop] = np.minimum(folded, 255)
+            self.counts[level] = line, grid
         self.percent = percent
 
     def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -201,16 +212,23 @@ class _Group:
         common = np.minimum(self.level[i], self.level[j])
         for level, (line, grid) in self.counts.items():
             k = np.flatnonzero(fit & (common == level))
-            for s in range(0, len(k), 100_000):
-                q = k[s : s + 100_000]
+            for at in _pieces(len(k), 1 << level):
+                q = k[at]
                 # union - overlap = what the two don't share, at most (100 - percent)/100 of the union
                 room = (100 - self.percent) * (ni[q] + nj[q]) // (100 + self.percent)
-                d = np.abs(grid[line[i[q]]] - grid[line[j[q]]]).sum(axis=1, dtype=np.int64)
+                one, other = grid[line[i[q]]], grid[line[j[q]]]
+                d = (np.maximum(one, other) - np.minimum(one, other)).sum(axis=1, dtype=np.int64)
                 out[q] = np.where(d <= room, d, -1)
         return out
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[list[pa.RecordBatch]]:
+def _pieces(rows: int, width: int) -> Iterator[slice]:
+    """Slices of so many rows that their counts are PIECE at most."""
+    step = max(1, PIECE // width)
+    return (slice(s, min(rows, s + step)) for s in range(0, rows, step))
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
     """Batches cut where the n-gram changes, some groups at once."""
     held: list[pa.RecordBatch] = []
     size = 0
@@ -220,12 +238,15 @@ def _grouped(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[
             before = held[-1].column("gram")[-1].as_py()
             new = np.flatnonzero(gram != before)
             if len(new):
-                yield [*held, batch.slice(0, int(new[0]))]
+                whole = pa.Table.from_batches([*held, batch.slice(0, int(new[0]))]).combine_chunks()
                 batch, held, size = batch.slice(int(new[0])), [], 0
+                yield whole
         held.append(batch)
         size += batch.num_rows
     if held:
-        yield held
+        whole = pa.Table.from_batches(held).combine_chunks()
+        held = []
+        yield whole
 
 
 def _walk(g: _Group, other_part: bool):
@@ -271,8 +292,8 @@ def _partners(percent: int, other_part: bool):
     """For each row with a partner that may match: its least and its nearest one, so that a group gives at most a row for each it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for parts in _grouped(batches):
-            g = _Group(parts, percent)
+        for whole in _grouped(batches):
+            g = _Group(whole, percent)
             n = len(g.gram)
             none = np.iinfo(np.int64).max
             least, nearest = np.full(n, none), np.full(n, none)
@@ -291,9 +312,11 @@ def _partners(percent: int, other_part: bool):
                 live |= np.repeat(np.diff(change) > WIDE, np.diff(change))
             none_found = least == none
             least, nearest = np.where(none_found, g.rep, least), np.where(none_found, g.rep, nearest)
-            t = pa.Table.from_batches(parts).combine_chunks()
-            rows = [t.column(c).combine_chunks().filter(pa.array(live)) for c in ("gram", "rep", "n", "vector")]
-            yield pa.RecordBatch.from_arrays([*rows, *(pa.array(x[live]) for x in (least, distance, nearest))], names=["gram", "rep", "n", "vector", "least", "distance", "nearest"])
+            out = g.rows.select(["gram", "rep", "n", "vector"])
+            for name, x in (("least", least), ("distance", distance), ("nearest", nearest)):
+                out = out.append_column(name, pa.array(x))
+            del g
+            yield from out.filter(pa.array(live)).to_batches(max_chunksize=BATCH_ROWS)
 
     return run
 
@@ -302,12 +325,13 @@ def _remaining(percent: int):
     """Pairs of rows under a common n-gram that may match and are not yet joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for parts in _grouped(batches):
-            g = _Group(parts, percent)
+        for whole in _grouped(batches):
+            g = _Group(whole, percent)
             found = [(np.minimum(g.rep[i], g.rep[j]), np.maximum(g.rep[i], g.rep[j])) for i, j, _ in _walk(g, True)]
             pairs = np.stack([np.concatenate([x[s] for x in found]) if found else np.zeros(0, np.int64) for s in (0, 1)])
             pairs = np.unique(pairs, axis=1) if pairs.size else pairs
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            del g, found
+            yield from pa.table([pairs[0], pairs[1]], names=["a", "b"]).to_batches(max_chunksize=BUFFER)
 
     return run
 

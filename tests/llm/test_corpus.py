@@ -2,9 +2,12 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +128,47 @@ def test_unlike_texts_of_one_id_all_stay(spark):
         same([r for r in kept if r[0] != 3], [(1, a), (1, b), (4, None), (4, "x y"), (None, a)])
 
 
+@pytest.mark.parametrize("groups", [1, 200])
+def test_comparing_groups_takes_little_beside_their_counts(groups):
+    rng = np.random.default_rng(3)
+    n, base = 20_000, rng.poisson(3, 512).astype(np.uint8)
+    vectors = [np.bincount(rng.integers(0, 512, 4), minlength=512).astype(np.uint8) + base for _ in range(n)]
+    rows = pa.table({"gram": np.arange(n) * groups // n, "rep": np.arange(n), "n": np.full(n, 1540), "vector": pa.array([v.tobytes() for v in vectors], pa.binary())})
+    tracemalloc.start()
+    out = [b for b in near._partners(80, False)(iter(rows.to_batches(max_chunksize=1000)))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * n * 512
+    got = pa.Table.from_batches(out)
+    assert got.num_rows == n and max(b.num_rows for b in out) <= 1000
+    for i in (0, n // 2, n - 1):
+        j = got.column("nearest")[i].as_py()
+        assert got.column("distance")[i].as_py() == np.abs(vectors[i].astype(int) - vectors[j]).sum()
+
+
+def test_counts_of_unlike_width_are_compared_alike_in_pieces(monkeypatch):
+    rng = np.random.default_rng(4)
+    n = 300
+    vectors = [rng.integers(0, 200, 1 << rng.integers(4, 10)).astype(np.uint8) for _ in range(n)]
+    rows = pa.table({"gram": np.zeros(n, dtype=np.int64), "rep": np.arange(n), "n": rng.integers(5_000, 5_500, n), "vector": pa.array([v.tobytes() for v in vectors], pa.binary())})
+
+    def fold(v, width):  # by halves of the levels that the group holds, each held to a byte
+        while len(v) > width:
+            v = np.minimum(v.astype(int).reshape(-1, len(v) // 2).sum(axis=0), 255)
+        return v.astype(int)
+
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(n)))
+    want = []
+    for a, b in zip(i, j, strict=True):
+        width = min(len(vectors[a]), len(vectors[b]))
+        d = np.abs(fold(vectors[a], width) - fold(vectors[b], width)).sum()
+        na, nb = rows.column("n")[int(a)].as_py(), rows.column("n")[int(b)].as_py()
+        want.append(d if d <= 60 * (na + nb) // 140 else -1)
+    for piece in (1, 5_000, near.PIECE):
+        monkeypatch.setattr(near, "PIECE", piece)
+        assert (near._Group(rows, 40).apart(i, j) == want).all()
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(40)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(50)] + [(7, 7)]
