@@ -4,7 +4,9 @@ Lines within `edits` edits of one another share one of edits + 1 segments, as
 each edit spoils one at most. Every distinct line is indexed by its segments
 under its length, and probes the lengths up to `edits` shorter with the
 substrings that a segment can have moved to (each segment's edits to the left
-and to the right bound its shift). A line under a key meets the key's earliest
+and to the right bound its shift). These keys are made of the lines alone that
+share one of fewer, coarser keys with another line, as any two near lines do
+(`_windows`). A line under a key meets the key's earliest
 line first, one pair a key; what that proves to be a repeat asks no further, as
 one near line that stands earlier is enough. The rest meet the other lines under
 their keys, where numbers of some characters leave room for the edits. A compiled
@@ -16,7 +18,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_SEPARATORS, cut, scope
@@ -134,6 +136,49 @@ def _keyed(lines: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
     return index, long.select(F.explode(probe_keys(edits)).alias("key"), "id", F.lit(False).alias("indexed")).where("key IS NOT NULL")
 
 
+def _windows(edits: int) -> Column:
+    """Keys of which two lines within the edits share one, if they stand in a band of lengths together; of n, line, band and least (no line there is shorter).
+
+    Cut the shorter line into edits + 1 segments. The first segment i that ends
+    with at most i edits so far has none of its own, i before it and at most
+    edits - i behind it, so from the nearer end of the line it has moved by
+    min(i, edits - i) at most. Segments have that much room beyond a window whose
+    size is the band's: the window at a segment's outer end in one of the lines
+    is one of those up to so much further in of the other."""
+    room = [min(i, edits - i) for i in range(edits + 1)]
+    size = F.greatest(F.lit(0), F.floor((F.col("least") - sum(room)) / (edits + 1)).cast("int"))
+    out = []
+    for i, r in enumerate(room):
+        for further in range(r + 1):
+            if i <= edits - i:
+                start = size * i + sum(room[:i]) + further
+            else:
+                start = F.col("n") - size * (edits - i + 1) - sum(room[i + 1 :]) - further
+            out.append(F.xxhash64("band", F.lit(i), F.substr(F.col("line"), start + 1, size)))
+    return F.array(*out)
+
+
+def _windowed(lines: DataFrame, edits: int) -> DataFrame:
+    """id and key of the lines under the keys of _windows, in their band of lengths and that of lines up to `edits` shorter."""
+    wide = max(1, 4 * edits)
+    band = lambda n: F.floor(n / wide).cast("int")
+    long = lines.select("id", "line", F.length("line").alias("n")).where(F.col("n") >= LEAST_CHARS)
+    banded = long.select("id", "line", "n", F.explode(F.sequence(band(F.col("n") - edits), band(F.col("n")))).alias("band"))
+    return banded.withColumn("least", F.greatest(F.col("band") * wide, F.lit(LEAST_CHARS))).select("id", F.explode(_windows(edits)).alias("key"))
+
+
+def _of_ids(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    return lines.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
+def companions(lines: DataFrame, edits: int) -> DataFrame:
+    """id, first and line, as a cut, of the lines that share a key of _windows with another one: all that have a near line, and some more."""
+    same = Window.partitionBy("key")
+    shared = _windowed(lines, edits).select("id", (F.min("id").over(same) != F.max("id").over(same)).alias("shared"))
+    ids = cut(shared.where("shared").select("id").distinct())
+    return cut(_of_ids(lines.select("id", "first", "line"), ids), ids)
+
+
 def _meetings(lines: DataFrame, edits: int) -> DataFrame:
     """key, id, indexed, pivot and many: the lines under keys that hold another one, with the key's earliest indexed line and their number."""
     index, probes = _keyed(lines, edits)
@@ -144,10 +189,10 @@ def _meetings(lines: DataFrame, edits: int) -> DataFrame:
 
 def near_repeats(lines: DataFrame, edits: int) -> DataFrame:
     """id of the distinct lines within `edits` edits of one whose first place is earlier."""
-    met = _meetings(lines, edits)
+    some = companions(lines, edits)
+    met = _meetings(some, edits)
     ids = met.select("id").union(met.select(F.col("pivot").alias("id"))).distinct()
-    few = ids.count() <= BROADCAST_IDS
-    lines = cut(lines.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "first", "line", *[(F.length("line") - F.length(F.translate("line", c, ""))).alias(f"n{k}") for k, c in enumerate(COUNTED)]))
+    lines = cut(_of_ids(some, ids).select("id", "first", "line", *[(F.length("line") - F.length(F.translate("line", c, ""))).alias(f"n{k}") for k, c in enumerate(COUNTED)]), some)
     proven = cut(_later(met.where("id != pivot").select("id", F.col("pivot").alias("other")), lines, edits))
     others = met.where("many > 1 AND id != pivot").select("key", "id", "indexed")  # the pivot has met all under its key
     side = lambda x: lines.select("id", *[F.col(c).alias(f"{x}_{c}") for c in ("first", *_COUNTS)])

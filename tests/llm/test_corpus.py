@@ -253,6 +253,43 @@ def test_lines_match_brute_force(spark, edits):
         assert lines.removed_lines(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("edits", [0, 2, 3, 5])
+def test_near_lines_share_a_window_and_few_others_are_keyed(spark, monkeypatch, edits):
+    rng = random.Random(edits)
+    base = ["".join(rng.choice("abcdefgh éß語") for _ in range(n)) for n in range(20, 70)]
+
+    def edited(s):
+        s = list(s)
+        for _ in range(edits):
+            j, how = rng.choice([0, len(s), rng.randrange(len(s))]), rng.randrange(3)
+            s[j : j + (how != 2)] = [] if how == 0 else [rng.choice("xyz")]
+        return "".join(s)
+
+    pairs = [(s, e) for s in base for e in {edited(s) for _ in range(6)} if len(e) >= lines.LEAST_CHARS]
+    texts = {s: i for i, s in enumerate({s for p in pairs for s in p})}
+    keys = defaultdict(set)
+    for r in lines._windowed(spark.createDataFrame([(i, s) for s, i in texts.items()], "id long, line string"), edits).collect():
+        keys[r.id].add(r.key)
+    near = [(a, b) for a, b in pairs if distance(a, b) <= edits]
+    assert len(near) == len(pairs) and all(keys[texts[a]] & keys[texts[b]] for a, b in near)
+
+    made, keyed = lines._keyed, []
+    monkeypatch.setattr(lines, "_keyed", lambda found, edits: keyed.extend(r.line for r in found.collect()) or made(found, edits))
+    unlike = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60)) for _ in range(300)]
+    twin = "z" + unlike[7][1:] if edits else unlike[7]
+    out = lines.removed_lines(spark.createDataFrame([(1, "\n".join(unlike)), (2, twin)], "doc_id long, text string"), edits)
+    assert {r.doc_id: r.n_removed for r in out.collect()} == {1: 0, 2: 1}
+    assert set(keyed) == ({unlike[7], twin} if edits else set())
+
+
+def test_window_code_is_small_enough_for_the_jvm_to_compile(spark):
+    rows = spark.createDataFrame([(1, "a line of more than twenty characters")], "id long, line string")
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    windowed = lines._windowed(rows, 2)
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", windowed._jdf.queryExecution().explainString(mode))
+    assert sizes and max(map(int, sizes)) < 8000 and windowed.count() <= 8
+
+
 # -- language model
 
 
